@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END_ID = 1
-#: Entries a worker keeps in a word memo before it starts afresh.
-MEMO_WORDS = 300_000
+#: Entries a worker's word memo keeps at most, in two generations.
+MEMO_WORDS = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,29 +67,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Memo:
+    """A bounded dict of two generations: when the young one is full it becomes
+    the old one, and what is used again moves up, so frequent keys stay."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def room(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys) -> list:
+        """The distinct keys that neither generation has; the others are young."""
+        young, old, out = self.young, self.old, []
+        for k in set(keys):
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordHashes:
-    """64-bit hashes of words, with a bounded memo that a worker reuses.
+    """64-bit hashes of words (lower-cased bytes).
 
-    normal: turns a raw word (lower-cased bytes) into what is hashed.
+    normal: turns a word into what is hashed; its results are remembered.
     """
 
     def __init__(self, normal=None):
         import xxhash
 
-        self._digest, self._normal = xxhash.xxh3_64_intdigest, normal
-        self._memo: dict[bytes, int] = {}
+        self._digest, self._normal, self._memo = xxhash.xxh3_64_intdigest, normal, Memo(MEMO_WORDS)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        digest = self._digest
+        if self._normal is None:
+            return np.array([digest(w) for w in words], dtype=np.uint64)
         memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+        memo.room()
+        young = memo.young
         try:
-            found = [memo[w] for w in words]
+            found = [young[w] for w in words]
         except KeyError:
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = self._digest(self._normal(w) if self._normal else w)
-            found = [memo[w] for w in words]
+            for w in memo.missing(words):
+                young[w] = digest(self._normal(w))
+            found = [young[w] for w in words]
         return np.array(found, dtype=np.uint64)
 
 
@@ -112,41 +136,69 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
+#: Chunks of these alone lower-case and normalise letter by letter.
+PLAIN = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+#: The tokenizer file's pre-tokenizer, over lower-cased PLAIN text.
+PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+
+
 class ChunkEncoder:
     """Encodes whole texts with the tokenizers library, word by word.
 
     The tokenizer file's pre-tokenizer never lets a token cross white space, so
     the ids of a text are the ids of its white-space separated chunks in order.
-    Each distinct chunk is encoded by the library once and remembered (up to
-    MEMO_WORDS chunks); ids() returns little-endian unsigned 32-bit bytes.
+    The library encodes each distinct chunk once while it is remembered. A
+    PLAIN chunk is first cut into its pre-tokens, which are shared by more
+    chunks; the library encodes those with the same model and byte table.
+    ids() returns little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[bytes, bytes] = {}
+        self._tokenizer, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._bare.normalizer = normalizers.Sequence([])
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Whether the file has the pre-tokenizer that PRETOKENS states.
+        self._known = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self._tokenizer.to_str()
+        #: Bytes that hold any id.
+        self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self._chunks, self._parts = Memo(MEMO_WORDS), Memo(MEMO_WORDS)
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
-        memo = self._memo
+        self._chunks.room()
+        memo = self._chunks.young
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
-            self._learn(words)
+            self._learn(self._chunks.missing(words))
             return b"".join([memo[w] for w in words])
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in set(words) if w not in memo]
-        got = self._tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-        for w, e in zip(new, got, strict=True):
+    def _learn(self, chunks: list[bytes]) -> None:
+        memo, cut_up, odd = self._chunks.young, {}, []
+        for w in chunks:
+            word = w.decode("utf-8")
+            if self._known and PLAIN.fullmatch(word) and "<|" not in word:
+                cut_up[w] = PRETOKENS.findall(word.lower())
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self._tokenizer.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False), strict=True):
             memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._parts.room()
+        parts = self._parts.young
+        new = self._parts.missing(p for ps in cut_up.values() for p in ps)
+        if new:
+            got = self._bare.encode(" ".join(new), add_special_tokens=False)
+            ids, ends = np.array(got.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(np.array(got.word_ids), np.arange(1, len(new) + 1))
+            at = 0
+            for p, end in zip(new, ends.tolist(), strict=True):
+                parts[p], at = ids[at:end], end
+        for w, ps in cut_up.items():
+            memo[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

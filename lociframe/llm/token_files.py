@@ -1,10 +1,11 @@
 """Flat token-id files with 64-bit document offsets.
 
-A part is three files: `.ids` (little-endian unsigned 32-bit ids of its
-documents, one after the other), `.off` (little-endian unsigned 64-bit, one
+A part is three files: `.ids` (little-endian unsigned ids of its documents,
+one after the other, 2 bytes wide if the vocabulary fits and else 4), `.off` (little-endian unsigned 64-bit, one
 more than documents: where each starts within the part) and `.doc` (signed
 64-bit document ids). A manifest row per part holds its place, its number of
-documents and ids, and its base: the ids in all parts before it.
+documents and ids, the bytes of an id, and its base: the ids in all parts
+before it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import END_ID, cut, encoder, shared_dir, shuffle_parts
 
 #: Stands for a null doc_id in .doc files.
 NO_ID = np.iinfo(np.int64).min
-MANIFEST = "part int, path string, docs long, ids long"
+MANIFEST = "part int, path string, docs long, ids long, width int"
 
 
 def _open(uri: str, mode: str):
@@ -61,24 +62,24 @@ def write_files(docs: DataFrame, out_dir: str, vocabulary: str, id_col: str = "d
         from pyspark import TaskContext
 
         task, encode = TaskContext.get(), encoder(vocabulary)
-        stem, end = f"{out_dir}/{task.partitionId():05d}-{task.taskAttemptId()}", np.array([END_ID], dtype="<u4").tobytes()
+        stem, kind = f"{out_dir}/{task.partitionId():05d}-{task.taskAttemptId()}", f"<u{encode.width}"
+        end = np.array([END_ID], dtype=kind).tobytes()
         lengths, ids, f = [], [], None
         for pdf in rows:
             f = f or _open(f"{stem}.ids", "w")
             for text in pdf["text"]:
-                got = encode.ids(text)
-                f.write(got)
-                f.write(end)
-                lengths.append(len(got) // 4 + 1)
+                got = np.frombuffer(encode.ids(text), dtype="<u4")
+                f.write(got.astype(kind).tobytes() + end)
+                lengths.append(len(got) + 1)
             ids.append(pdf["id"].fillna(NO_ID).to_numpy(dtype="<i8") if pdf["id"].isna().any() else pdf["id"].to_numpy(dtype="<i8"))
         if f is None:
             return
         f.close()
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-        for kind, data in (("off", offsets), ("doc", np.concatenate(ids))):
-            with _open(f"{stem}.{kind}", "w") as g:
+        for name, data in (("off", offsets), ("doc", np.concatenate(ids))):
+            with _open(f"{stem}.{name}", "w") as g:
                 g.write(data.tobytes())
-        yield pd.DataFrame({"part": [task.partitionId()], "path": [stem], "docs": [len(lengths)], "ids": [int(offsets[-1])]})
+        yield pd.DataFrame({"part": [task.partitionId()], "path": [stem], "docs": [len(lengths)], "ids": [int(offsets[-1])], "width": [encode.width]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = ordered.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
@@ -95,10 +96,10 @@ def read_files(manifest: DataFrame) -> DataFrame:
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for p in pdf.itertuples():
-                ids, off, doc = mapped(f"{p.path}.ids", "<u4"), mapped(f"{p.path}.off", "<u8"), mapped(f"{p.path}.doc", "<i8")
+                ids, off, doc = mapped(f"{p.path}.ids", f"<u{p.width}"), mapped(f"{p.path}.off", "<u8"), mapped(f"{p.path}.doc", "<i8")
                 for at in range(0, len(doc), 10_000):
                     some = off[at : at + 10_001].astype(np.int64)
-                    crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)]
+                    crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)]
                     own = np.array(doc[at : at + 10_000])
                     yield pd.DataFrame({"doc_id": pd.array(own, dtype="Int64").copy() if (own != NO_ID).all() else pd.array([None if x == NO_ID else int(x) for x in own], dtype="Int64"), "start": some[:-1] + p.base, "n_tokens": np.diff(some), "ids_crc32": crcs})
 
