@@ -10,6 +10,7 @@ probability of their generalised Jaccard similarity.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,60 +22,81 @@ LANES = 4
 SEED = 77
 
 
-def _uniform(h: Column) -> Column:
-    """(0, 1) from the lower 32 bits of a hash."""
-    return (h.bitwiseAND(0xFFFFFFFF).cast("double") + 0.5) * (1.0 / 4294967296.0)
+#: Entries of the inverse distribution tables (powers of two).
+R_STEPS, C_STEPS = 1 << 12, 1 << 14
 
 
-def sample_key(term: Column, weight_ln: Column, k: Column) -> Column:
+def _gamma_quantiles(n: int) -> np.ndarray:
+    """Of gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at the middles
+    of n equal steps, by bisection."""
+    u, low, high = (np.arange(n) + 0.5) / n, np.zeros(n), np.full(n, 60.0)
+    for _ in range(80):
+        mid = (low + high) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < u
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def _literal(values: np.ndarray) -> Column:
+    """A constant array; as a string that is folded, it is one plan node."""
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
+
+
+def sample_key(term: Column, weight_ln: Column, k: Column, tables: tuple[Column, Column]) -> Column:
     """One long that orders by a and names (term, t).
 
-    The upper 31 bits are ln(a), scaled (it lies within +-60); the lower 32 are
-    a hash of (term, t). Texts that pick the same (term, t) have the same long.
+    r and ln c come from tables of gamma quantiles, indexed by bits of one hash
+    of (term, k); below the sixteenth step of c, where the table is coarse, the
+    distribution is x * x / 2 in the limit, and all its bits count. The upper
+    31 bits of the result are ln(a), scaled; the lower 32 a hash of (term, t).
     """
-    h1 = F.xxhash64(term, k)
-    h2 = F.xxhash64(h1)
-    h3 = F.xxhash64(h2)
-    u1, u2 = _uniform(h1), _uniform(F.shiftright(h1, 32))
-    u3, u4 = _uniform(h2), _uniform(F.shiftright(h2, 32))
-    beta = _uniform(h3)
-    r = -F.ln(u1 * u2)
+    h = F.xxhash64(term, k)
+    r = F.get(tables[0], F.shiftrightunsigned(h, 52).cast("int"))
+    step = F.shiftrightunsigned(h, 18).bitwiseAND(C_STEPS - 1).cast("int")
+    fine = F.shiftrightunsigned(h, 0).bitwiseAND((1 << 32) - 1).cast("double") + 0.5
+    ln_c = F.when(step < 16, F.ln(fine * (2.0 / (1 << 32))) * 0.5).otherwise(F.get(tables[1], step))
+    beta = F.shiftrightunsigned(h, 32).bitwiseAND((1 << 20) - 1).cast("double") * (1.0 / (1 << 20))
     t = F.floor(weight_ln / r + beta)
-    ln_a = F.ln(-F.ln(u3 * u4)) - r * (t - beta) - r
-    scaled = F.least(F.greatest((ln_a + 60.0) * 16777216.0, F.lit(0.0)), F.lit(2013265919.0)).cast("long")
-    return F.shiftleft(scaled, 32).bitwiseOR(F.xxhash64(h1, t).bitwiseAND(0xFFFFFFFF))
+    ln_a = ln_c - r * (t - beta + 1.0)
+    scaled = F.greatest((ln_a + 100.0) * 8388608.0, F.lit(0.0)).cast("long")
+    return F.shiftleft(scaled, 32).bitwiseOR((F.shiftrightunsigned(h, 16).bitwiseXOR(h).bitwiseAND(0x3FFFFFFF) + t).bitwiseAND(0xFFFFFFFF))
 
 
 def term_weights(text: Column) -> Column:
-    """array<struct<term: long, n: int>> of a text: hashed pairs, run lengths.
-
-    Pairs are sorted as longs, and the places where a run begins are kept.
-    """
+    """The sorted hashed pairs of a text (its word, if it has one)."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = F.size(words)
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.when(n < 2, hashed).otherwise(F.zip_with(F.slice(hashed, 1, F.greatest(n - 1, F.lit(1))), F.slice(hashed, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    return F.array_sort(pairs)
+    rest = F.greatest(n - 1, F.lit(1))
+    pairs = F.when(n < 2, hashed).otherwise(F.zip_with(F.slice(hashed, 1, rest), F.slice(hashed, 2, rest), lambda a, b: F.xxhash64(a, b)))
+    return F.sort_array(pairs)
 
 
-def fingerprint_rows(texts: DataFrame, keys: list[str], sorted_col: str, samples: int = SAMPLES) -> DataFrame:
-    """keys + fingerprint (array<long>, null for texts without words).
+def fingerprint_rows(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys + fingerprint (array<long>) of texts with column s, the sorted
+    hashes. Grouping by keys needs no exchange if texts is already dealt out by
+    some of them.
 
-    texts holds one row per key with its sorted pair hashes. Grouping by keys
-    needs no exchange if texts is already dealt out by some of them.
+    A term's sample can only fall as its weight grows. So each distinct term
+    is taken once at weight 1, and again at its weight if it occurs more often.
     """
-    s = F.col(sorted_col)
-    size = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    rows = texts.where(size > 0).select(*keys, s.alias("s"), starts.alias("b"))
-    ends = F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("s") + 1))
-    rows = rows.select(*keys, F.zip_with("b", ends, lambda i, j: F.struct(F.element_at("s", i).alias("term"), (j - i).alias("n"))).alias("runs"))
-    terms = rows.select(*keys, F.explode("runs").alias("x")).select(*keys, F.col("x.term").alias("term"), F.ln(F.col("x.n").cast("double")).alias("w"))
-    lanes = terms.select(*keys, "term", "w", F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))).alias("g"))
-    lanes = lanes.select(*keys, "g", *[sample_key(F.col("term"), F.col("w"), F.col("g") * LANES + j + SEED * 1000).alias(f"k{j}") for j in range(LANES)])
+    again = F.filter("s", lambda x, i: (i > 0) & (x == F.get(F.col("s"), F.greatest(i - 1, F.lit(0)))))
+    rows = texts.select(*keys, F.array_distinct("s").alias("d"), again.alias("s"))
+    size = F.size("s")
+    starts = F.when(size > 0, F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (F.get(F.col("s"), i) != F.get(F.col("s"), F.greatest(i - 1, F.lit(0)))))).otherwise(F.expr("cast(array() as array<int>)"))
+    rows = rows.withColumn("b", starts)
+    ends = F.when(F.size("b") > 0, F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("s")))).otherwise(F.col("b"))
+    terms = F.concat("d", F.transform("b", lambda i: F.get(F.col("s"), i)))
+    # a term that occurs n times is n - 1 times among the repeated ones
+    weights = F.concat(F.array_repeat(F.lit(0.0), F.size("d")), F.zip_with("b", ends, lambda i, j: F.ln((j - i + 1).cast("double"))))
+    rows = rows.select(*keys, F.explode(F.arrays_zip(terms.alias("term"), weights.alias("w"))).alias("x"))
+    rows = rows.select(*keys, F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    lanes = rows.select(*keys, "term", "w", F.explode(F.sequence(F.lit(0), F.lit(samples // LANES - 1))).alias("g"))
+    tables = _literal(_gamma_quantiles(R_STEPS)), _literal(np.log(_gamma_quantiles(C_STEPS)))
+    lanes = lanes.select(*keys, "g", *[sample_key(F.col("term"), F.col("w"), F.col("g") * LANES + j + SEED * 1000, tables).alias(f"k{j}") for j in range(LANES)])
     least = lanes.groupBy(*keys, "g").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(LANES)])
     ids = F.transform(F.array(*[f"k{j}" for j in range(LANES)]), lambda v: v.bitwiseAND(0xFFFFFFFF))
-    packed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", ids.alias("v")))).alias("all"))
+    packed = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", ids.alias("v")))).alias("all"))
     return packed.select(*keys, F.flatten(F.transform("all", lambda x: x["v"])).alias("fingerprint"))
 
 
@@ -115,7 +137,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def first_rows(docs: DataFrame) -> DataFrame:
     """bucket -> the first row of the next bucket that has rows (cyclic)."""
-    heads = docs.groupBy("bucket").agg(F.min(F.struct((-F.coalesce("id", F.lit(0))).alias("o"), "text")).alias("h"))
+    heads = docs.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not(F.coalesce("id", F.lit(0))).alias("o"), "text")).alias("h"))
     heads = cut(heads.select("bucket", F.col("h.text").alias("head")))
     ring = Window.orderBy("bucket")  # at most 1024 rows
     first = heads.agg(F.min_by("head", "bucket").alias("f"))
@@ -140,14 +162,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("id").desc_nulls_last(), F.col("text"))).alias("place")
     base = rows.select("bucket", place, "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    both = base.select("bucket", "place", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("e"), term_weights(F.col("text")).alias("s")), F.struct(F.lit(1).alias("e"), term_weights(F.col("edited")).alias("s")))).alias("x"))
-    both = both.select("bucket", "place", "id", "n_chars", "edited_sha256", F.col("x.e").alias("e"), F.col("x.s").alias("s"))
-    keys = ["bucket", "place", "id", "n_chars", "edited_sha256", "e"]
+    kinds = F.array(*[F.struct(F.lit(e).alias("e"), term_weights(F.col(c)).alias("s")) for e, c in ((0, "text"), (1, "edited"))])
+    both = base.select("bucket", "place", F.explode(kinds).alias("x")).select("bucket", "place", F.col("x.e").alias("e"), F.col("x.s").alias("s"))
     # a text without words keeps its row through one pair that no sample meets
-    prints = fingerprint_rows(both.withColumn("s", F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(EMPTY)))), keys, "s", samples)
+    both = both.withColumn("s", F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(EMPTY))))
+    prints = fingerprint_rows(both, ["bucket", "place", "e"], samples)
     own = F.max(F.when(F.col("e") == 0, F.col("fingerprint")))
     alt = F.max(F.when(F.col("e") == 1, F.col("fingerprint")))
-    flat = cut(prints.groupBy("bucket", "place", "id", "n_chars", "edited_sha256").agg(own.alias("f"), alt.alias("g")))
+    known = base.select("bucket", "place", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    flat = cut(prints.groupBy("bucket", "place").agg(own.alias("f"), alt.alias("g")).join(known, ["bucket", "place"]))
     order = Window.partitionBy("bucket").orderBy("place")
     heads = cut(flat.where("place = 1").select("bucket", F.col("f").alias("head")))
     ring = Window.orderBy("bucket")
