@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, packing, sharding, token_files, url_filter
+from . import decontaminate, fingerprints, fixity, near_dup, packing, sharding, token_files, toxicity, url_filter
 from .common import table, vocabulary
 
 URL_RULES = [
@@ -17,6 +18,16 @@ URL_RULES = [
 ]
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica with known damage."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return fixity.checked(pages, fixity.damaged(pages))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -26,6 +37,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -34,20 +51,65 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dup": op2_near_dup,
+    "op3_fixity": op3_fixity,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_dup": r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + least(5, len(ws)) - 1), ' ') || CASE WHEN len(ws) < 5 THEN ' |' ELSE '' END AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * p.k >= 85 * (x.n + y.n - p.k)),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, w.doc_id = min(r.c) AS kept
+FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+""",
+    "op3_fixity": r"""
+WITH d AS (
+  SELECT page_id, url, html,
+         CASE WHEN page_id % 97 = 0 THEN substr(html, 1, 100) || '~' || substr(html, 102)
+              WHEN page_id % 97 = 5 THEN substr(html, 1, greatest(length(html) - 7, 0)) ELSE html END AS other,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+           || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+           || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+  FROM pages)
+SELECT page_id, page_id // 512 AS file,
+       row_number() OVER w - 1 AS seq,
+       CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY page_id // 512 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest,
+       CASE WHEN page_id % 512 >= 510 THEN 'missing' WHEN other IS DISTINCT FROM html THEN 'corrupt' ELSE 'ok' END AS status
+FROM d WINDOW w AS (PARTITION BY page_id // 512 ORDER BY page_id)
+""",
     "op10_url_filter": """
 WITH p AS (
   SELECT page_id,
