@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, fixity, near_dup, packing, sharding, token_files, toxicity, url_filter
+from . import decontaminate, fingerprints, fixity, html_extract, near_dup, packing, sharding, token_files, toxicity, url_filter
 from .common import table, vocabulary
 
 URL_RULES = [
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "container")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -61,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_near_dup": op2_near_dup,
     "op3_fixity": op3_fixity,
     "op4_packing": op4_packing,
