@@ -28,12 +28,14 @@ SHINGLE = 5
 BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 7
 FLIPS = RADIUS // BLOCKS
-LADDER = 1.2
+LADDER = 1.4
 MIN_LADDER = 10
 #: Items whose fingerprints are broadcast at once; more are done in blocks.
 ITEM_BLOCK = 20_000
+#: Entries of the table that says which shingles some item may have.
+TABLE = 1 << 20
 #: Words handled at once in a worker.
-CHUNK = 32_768
+CHUNK = 4096
 PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
@@ -54,15 +56,14 @@ def simhashes(words: np.ndarray, size: int, ones: np.ndarray) -> np.ndarray:
     """SimHash of every window of `size` words; ones: running counts of set
     bits, one row more than words, 16-bit (their differences can't overflow)."""
     got = (ones[size:] - ones[:-size]) > size // 2
-    return np.packbits(got, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    return np.packbits(got, axis=1).view("<u8").reshape(-1)
 
 
 def running_ones(words: np.ndarray) -> np.ndarray:
     """Per-bit running counts over a row of word hashes."""
-    bits = np.unpackbits(mix64(words).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     out = np.zeros((len(words) + 1, 64), dtype=np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
-    return out
+    out[1:] = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+    return np.cumsum(out, axis=0, out=out)
 
 
 def shingle_counts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +91,9 @@ class Items:
         every = np.concatenate([s for s, _ in self.shingles]) if ids else np.zeros(0, dtype=np.uint64)
         self.known, held = np.unique(every, return_counts=True)
         self.weight = 1.0 / held if len(held) else np.zeros(0)
+        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.table = np.zeros(TABLE, dtype=bool)
+        self.table[(self.known & np.uint64(TABLE - 1)).astype(np.int64)] = True
         ladder = np.array(sizes(max([1, *map(len, self.words)])))
         by_size: dict[int, list] = {}
         for k, w in enumerate(self.words):
@@ -114,7 +118,7 @@ class Items:
             for f in flips:
                 table[own ^ f] = True
             tables.append(table)
-        return [r[0] for r in rows], [r[1] for r in rows], prints, tables
+        return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), prints, tables
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -132,39 +136,60 @@ class Items:
         high = float((ws * c).sum() + (wt * d).sum()) - low
         return low / high if high else 0.0
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray):
-        """(document, item, window start) of windows within RADIUS.
+    def candidates(self, words: np.ndarray, starts: np.ndarray, similarity: float):
+        """(document, item, window start, window end) of windows within RADIUS
+        of which enough shingles may be known.
 
         words: hashes of several documents in a row; starts: where each one
         begins, and the end. A document shorter than a size is one window.
         """
-        ones = running_ones(words)
+        ones, n = running_ones(words), len(words)
         lengths = np.diff(starts)
         owner = np.repeat(np.arange(len(lengths)), lengths)
+        left = starts[1:][owner] - np.arange(n)  # words up to the document's end
+        found = []
         for size, (items, heads, prints, tables) in self.classes.items():
-            # a window must not cross into the next document
-            first = np.arange(max(0, len(words) - size + 1))
-            inside = owner[first] == owner[first + size - 1] if len(first) else np.zeros(0, dtype=bool)
-            got = simhashes(words, size, ones) if len(first) else np.zeros(0, dtype=np.uint64)
-            hit = np.zeros(len(first), dtype=bool)
-            low = got.view("<u2").reshape(-1, 4)
-            for block, table in enumerate(tables):
-                hit |= table[low[:, block]]
-            hit &= inside
-            places = [(p, size, got[p]) for p in np.flatnonzero(hit).tolist()]
-            for d in np.flatnonzero((lengths < size) & (lengths > 0)).tolist():
-                n = int(lengths[d])
-                if 5 * n < 4 * size:
-                    continue  # even a whole match would be less alike than 0.8
-                a = int(starts[d])
-                places.append((a, n, np.packbits((ones[a + n] - ones[a]) > n // 2).view(">u8").astype(np.uint64)[0]))
-            if not places:
-                continue
-            near = np.bitwise_count(np.array([p[2] for p in places], dtype=np.uint64)[:, None] ^ prints[None, :]) <= RADIUS
-            for x, k in np.argwhere(near).tolist():
-                place = places[x][0]
-                d = int(owner[place])
-                yield d, items[k], max(int(starts[d]), place - heads[k])
+            hits, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            if n >= size:
+                got = simhashes(words, size, ones)
+                low = got.view("<u2").reshape(-1, BLOCKS).T.astype(np.int64)
+                hit = tables[0].take(low[0])
+                for block in range(1, BLOCKS):
+                    hit |= tables[block].take(low[block])
+                # a window must not cross into the next document
+                hit &= left[: len(got)] >= size
+                hits = np.flatnonzero(hit)
+                got = got[hits]
+            # even a whole match of a shorter document would be too unlike
+            for d in np.flatnonzero((lengths < size) & (lengths >= similarity * size)).tolist():
+                a, k = int(starts[d]), int(lengths[d])
+                hits = np.append(hits, a)
+                got = np.append(got, np.packbits((ones[a + k] - ones[a]) > k // 2).view("<u8"))
+            if len(hits):
+                near = np.bitwise_count(got[:, None] ^ prints[None, :]) <= RADIUS
+                x, k = np.nonzero(near)
+                d = owner[hits[x]]
+                begin = np.maximum(starts[d], hits[x] - heads[k])
+                found.append(np.stack([d, items[k], begin, np.minimum(begin + self.lengths[items[k]], starts[d + 1])], axis=1))
+        if not found:
+            return np.zeros((0, 4), dtype=np.int64)
+        rows = np.unique(np.concatenate(found), axis=0)
+        # a window is no more alike than the share of its shingles that any item
+        # has; the table may say yes to others too
+        count = np.concatenate([[0], np.cumsum(self.table[(_rolled(words) & np.uint64(TABLE - 1)).astype(np.int64)])]) if n >= SHINGLE else np.zeros(1)
+        inside = np.maximum(rows[:, 3] - rows[:, 2] - SHINGLE + 1, 0)
+        last = np.minimum(rows[:, 2] + inside, len(count) - 1)
+        known = count[last] - count[np.minimum(rows[:, 2], len(count) - 1)]
+        return rows[(inside == 0) | (known >= similarity * inside - 1e-9)]
+
+
+def _rolled(words: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that begins at each word."""
+    h = np.zeros(max(0, len(words) - SHINGLE + 1), dtype=np.uint64)
+    mixed = mix64(words)
+    for i in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[i : i + len(h)]
+    return h
 
 
 def _batches(texts: list, hashes: WordHashes):
@@ -229,9 +254,7 @@ def _searcher(shared, similarity: float):
             for some, docs in _batches(texts, _WORDS[0]):
                 words, best = np.concatenate(some), {}
                 starts = np.concatenate([[0], np.cumsum([len(w) for w in some])])
-                for d, item, at in sorted(set(items.candidates(words, starts))):
-                    n = len(items.words[item])
-                    end = int(min(at + n, starts[d + 1]))
+                for d, item, at, end in items.candidates(words, starts, similarity).tolist():
                     s = items.similarity(item, words[at:end])
                     if s >= similarity and s > best.get((d, item), (0.0,))[0]:
                         best[d, item] = (s, at - int(starts[d]), end - at)

@@ -32,6 +32,8 @@ TOKEN_WORDS = 8
 SUPPORT, LEAST_PAGES = 0.5, 3
 #: Characters of all templates together that are broadcast; else they are joined.
 MAX_BROADCAST = 48_000_000
+#: Hosts of few pages that are broadcast; else they are joined.
+MAX_HOSTS = 300_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -302,8 +304,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     clean = clear_names(pages, *names)
     base = clean.withColumns({"__host": split_url(F.col(url_col))[0], "__html": F.col(html_col).cast("string")})
     sizes = base.groupBy("__host").agg(F.count("*").alias("n"))
-    few = sizes.where(F.col("n") < LEAST_PAGES).select("__host", F.lit("").alias("__group"))
-    keyed = base.join(few, "__host", "left").withColumn("__group", F.coalesce("__group", "__host"))
+    few = cut(sizes.where(F.col("n") < LEAST_PAGES).select("__host", F.lit("").alias("__group")))
+    keyed = base.join(F.broadcast(few) if few.count() <= MAX_HOSTS else few, "__host", "left").withColumn("__group", F.coalesce("__group", "__host"))
     narrow = keyed.select(F.col("__group").alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.col("__html").alias("html"))
     found = cut(templates(narrow))
     where = cut(containers(narrow.select("host", "html"), found))
