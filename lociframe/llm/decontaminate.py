@@ -111,15 +111,35 @@ class Items:
     @staticmethod
     def _class(rows: list):
         prints = np.array([p for _, _, p in rows], dtype=np.uint64)
-        tables, flips = [], [0, *(1 << b for b in range(BLOCK_BITS))]
+        tables, flips = [], np.array([0, *(1 << b for b in range(BLOCK_BITS))])
         for block in range(BLOCKS):
             own = ((prints >> np.uint64(BLOCK_BITS * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            table = np.zeros(1 << BLOCK_BITS, dtype=bool)
-            for f in flips:
-                table[own ^ f] = True
-            tables.append(table)
+            # values within a flip, and the prints of each value in one row
+            values = (own[:, None] ^ flips).reshape(-1)
+            order = np.argsort(values, kind="stable")
+            first = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1))
+            tables.append((np.diff(first) > 0, first, np.repeat(np.arange(len(prints)), len(flips))[order]))
         return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), prints, tables
 
+    @staticmethod
+    def _near(got: np.ndarray, fits: np.ndarray | None, prints: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
+        """(window, print) pairs within RADIUS; fits: which windows count."""
+        low = got.view("<u2").reshape(-1, BLOCKS).T.astype(np.int64)
+        windows, others = [], []
+        for values, (has, first, members) in zip(low, tables, strict=True):
+            hit = has.take(values)
+            if fits is not None:
+                hit &= fits
+            hits = np.flatnonzero(hit)
+            begin = first[values[hits]]
+            count = first[values[hits] + 1] - begin
+            w = np.repeat(hits, count)
+            k = members[np.arange(len(w)) + np.repeat(begin - np.cumsum(count) + count, count)]
+            near = np.bitwise_count(got[w] ^ prints[k]) <= RADIUS
+            windows.append(w[near])
+            others.append(k[near])
+        return np.concatenate(windows), np.concatenate(others)
+
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.ones(len(shingles))
@@ -149,27 +169,20 @@ class Items:
         left = starts[1:][owner] - np.arange(n)  # words up to the document's end
         found = []
         for size, (items, heads, prints, tables) in self.classes.items():
-            hits, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            pairs = []
             if n >= size:
-                got = simhashes(words, size, ones)
-                low = got.view("<u2").reshape(-1, BLOCKS).T.astype(np.int64)
-                hit = tables[0].take(low[0])
-                for block in range(1, BLOCKS):
-                    hit |= tables[block].take(low[block])
                 # a window must not cross into the next document
-                hit &= left[: len(got)] >= size
-                hits = np.flatnonzero(hit)
-                got = got[hits]
+                pairs.append(self._near(simhashes(words, size, ones), left[: n - size + 1] >= size, prints, tables))
             # even a whole match of a shorter document would be too unlike
-            for d in np.flatnonzero((lengths < size) & (lengths >= similarity * size)).tolist():
-                a, k = int(starts[d]), int(lengths[d])
-                hits = np.append(hits, a)
-                got = np.append(got, np.packbits((ones[a + k] - ones[a]) > k // 2).view("<u8"))
-            if len(hits):
-                near = np.bitwise_count(got[:, None] ^ prints[None, :]) <= RADIUS
-                x, k = np.nonzero(near)
-                d = owner[hits[x]]
-                begin = np.maximum(starts[d], hits[x] - heads[k])
+            short = np.flatnonzero((lengths < size) & (lengths >= similarity * size))
+            if len(short):
+                a, k = starts[short], lengths[short]
+                got = np.packbits((ones[a + k] - ones[a]) > (k // 2)[:, None], axis=1).view("<u8").reshape(-1)
+                x, k = self._near(got, None, prints, tables)
+                pairs.append((a[x], k))
+            for x, k in pairs:
+                d = owner[x]
+                begin = np.maximum(starts[d], x - heads[k])
                 found.append(np.stack([d, items[k], begin, np.minimum(begin + self.lengths[items[k]], starts[d + 1])], axis=1))
         if not found:
             return np.zeros((0, 4), dtype=np.int64)

@@ -56,13 +56,37 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.where(full, (zeros << np.uint64(MANTISSA)) | mantissa, EMPTY).astype("<u2")
 
 
+#: For each bucket, the buckets that it borrows from, in order, if it is empty.
+LENDERS = np.random.default_rng(11).integers(0, REGISTERS, size=(64, REGISTERS))
+
+
+def filled(codes: np.ndarray) -> np.ndarray:
+    """The registers with every empty one borrowed from the first of its lenders
+    that has a code (or from the next bucket that has, if none of them does).
+
+    So two sets agree in a borrowed register about as often as in one of their
+    own, and small sets don't meet in bands of empty buckets.
+    """
+    out, left = codes.copy(), np.flatnonzero(codes == EMPTY)
+    if len(left) == len(codes):
+        return out
+    for row in LENDERS:
+        if not len(left):
+            return out
+        lent = codes[row[left]]
+        out[left] = lent
+        left = left[lent == EMPTY]
+    have = np.flatnonzero(codes != EMPTY)
+    out[left] = codes[have[np.searchsorted(have, left) % len(have)]]
+    return out
+
+
 def band_keys(codes: np.ndarray) -> np.ndarray:
-    """A signed hash per band; 0 for a band whose buckets are all empty."""
-    parts = codes.reshape(BANDS, ROWS).astype(np.uint64)
+    """A signed hash per band of filled registers."""
+    parts = filled(codes).reshape(BANDS, ROWS).astype(np.uint64)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, i])
-    out[(parts == EMPTY).all(axis=1)] = 0
     return out.view(np.int64)
 
 
@@ -111,7 +135,7 @@ def _bands(reps: DataFrame) -> DataFrame:
             keys = [band_keys(np.frombuffer(c, dtype="<u2")) for c in pdf["codes"]]
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             ids = np.repeat(pdf["id"].to_numpy(), BANDS)
-            yield pd.DataFrame({"key": flat[flat != 0], "id": ids[flat != 0]})
+            yield pd.DataFrame({"key": flat, "id": ids})
 
     return reps.select("id", "codes").mapInPandas(run, "key long, id long")
 
