@@ -25,6 +25,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: The code of a bucket without a hash.
 EMPTY = 0xFFFF
+#: Members of a bucket whose pairs are all tried in one round.
+WHOLE = 512
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 6.0
 
@@ -193,11 +195,13 @@ def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     left out here; near_duplicates() returns them.
 
     Candidates: each bucket first pairs its smallest member with the others.
-    Where a bucket still holds several components, either all pairs between
-    them are made (if that is no more than a few per document), or another
-    member is paired with all that are not in its component, and again, until
-    no pair between components of a bucket is untried. No bucket or candidate
-    is capped, and every step is an aggregation, a join or a narrow map.
+    Where a bucket of up to WHOLE members still holds several components, all
+    pairs between them (of sizes that can be that alike) are tried; of a larger
+    one about 2 sqrt(k) members at a time meet all the others and are done,
+    again and again until at most WHOLE are left or all are one component. So
+    no pair between components of a bucket stays untried, no bucket or
+    candidate is capped, and every step is an aggregation, a join or a narrow
+    map.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = cut(sketches(docs, id_col, text_col))
@@ -218,31 +222,24 @@ def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     links = confirm(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     comp = cut(components(links))
     # the members that have not yet been paired with all others of their bucket
-    rest = members.where("id <> lead").select("key", "id")
+    rest, turn = members.where("id <> lead").join(reps.select("id", "n"), "id").select("key", "id", "n"), 0
+    alike = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     while True:
-        rest = rest.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        by_part = rest.groupBy("key", "c").agg(F.count("*").alias("k"))
-        open_ = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("parts > 1")
-        open_ = cut(open_)
-        todo = open_.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if not todo:
+        known = rest.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        open_ = known.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        rest = cut(known.join(open_.select("key", "k"), "key"))
+        if rest.isEmpty():
             break
-        rest = cut(rest.join(open_.select("key"), "key", "left_semi"))
-        if todo <= 4 * reps.count() + 100_000:
-            other = rest.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"))
-            pairs = rest.withColumnRenamed("id", "a").join(other, "key").where("a < b and c <> c_b").select("a", "b").distinct()
-            final = True
-        else:
-            # the next leader: the member of least hash
-            leads = rest.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id")).alias("l"))
-            led = rest.join(leads, "key")
-            pairs = led.where("c <> l.c").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-            rest = cut(led.where("id <> l.id").select("key", "id"))
-            final = False
-        links = cut(links.unionByName(confirm(pairs)))
+        a, b = (rest.select("key", "k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c")]) for x in "ab")
+        small = a.where(F.col("k") <= WHOLE).join(b.drop("k"), "key").where("id_a < id_b")
+        # of larger buckets a few members, chosen by hash, meet all the others
+        leads = F.pmod(F.xxhash64("id_a", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))
+        large = a.where((F.col("k") > WHOLE) & leads).join(b.drop("k"), "key")
+        pairs = small.unionByName(large).where("c_a <> c_b").where(alike)
+        links = cut(links.unionByName(confirm(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())))
         comp = cut(components(links))
-        if final:
-            break
+        done = F.pmod(F.xxhash64("id", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))
+        rest, turn = rest.where((F.col("k") > WHOLE) & ~done).select("key", "id", "n"), turn + 1
     # a row -> its class -> the class's component
     member = all_rows.join(classes.select("n", "set1", "set2", "rep"), ["n", "set1", "set2"], "left")
     out = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
