@@ -26,9 +26,9 @@ MANTISSA = 10
 #: The code of a bucket without a hash.
 EMPTY = 0xFFFF
 #: Members of a bucket whose pairs are all tried in one round.
-WHOLE = 512
+WHOLE = 4096
 #: Standard errors that an estimate may lie below the threshold.
-SLACK = 6.0
+SLACK = 4.5
 
 _WORDS: list[WordHashes] = []
 
@@ -163,6 +163,32 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id_a, id_b) of members of a bucket (of at most WHOLE) in different
+    components whose sizes and estimate allow a link; a pair that shares several
+    buckets is given in the first of its bands only."""
+    goal = percent / 100
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, n, c = (pdf[x].to_numpy() for x in ("id", "n", "c"))
+        codes = np.frombuffer(b"".join(pdf["codes"]), dtype="<u2").reshape(len(pdf), REGISTERS)
+        keys = np.stack([band_keys(x) for x in codes])
+        band = int(np.argmax(keys[0] == pdf["key"].iloc[0]))
+        out = []
+        for i in range(len(pdf) - 1):
+            j = np.arange(i + 1, len(pdf))
+            j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+            if len(j):
+                like, size = estimate(codes[j], codes[i][None], n[j].astype(float), np.full(len(j), float(n[i])))
+                j = j[like >= goal - SLACK * np.sqrt(goal * (1 - goal) / np.maximum(size, 1))]
+                out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["id_a", "id_b"])
+
+    return members.select("key", "id", "n", "c", "codes").groupBy("key").applyInPandas(run, "id_a long, id_b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
     """The pairs that full sets confirm: 100 intersection >= percent union."""
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -230,12 +256,11 @@ def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         rest = cut(known.join(open_.select("key", "k"), "key"))
         if rest.isEmpty():
             break
-        a, b = (rest.select("key", "k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c")]) for x in "ab")
-        small = a.where(F.col("k") <= WHOLE).join(b.drop("k"), "key").where("id_a < id_b")
+        small = _within(rest.where(F.col("k") <= WHOLE).join(reps.select("id", "codes"), "id"), percent)
         # of larger buckets a few members, chosen by hash, meet all the others
-        leads = F.pmod(F.xxhash64("id_a", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))
-        large = a.where((F.col("k") > WHOLE) & leads).join(b.drop("k"), "key")
-        pairs = small.unionByName(large).where("c_a <> c_b").where(alike)
+        x, y = (rest.where(F.col("k") > WHOLE).select("key", "k", *[F.col(c).alias(f"{c}_{z}") for c in ("id", "n", "c")]) for z in "ab")
+        large = x.where(F.pmod(F.xxhash64("id_a", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))).join(y.drop("k"), "key").where("c_a <> c_b").where(alike)
+        pairs = small.unionByName(large.select("id_a", "id_b"))
         links = cut(links.unionByName(confirm(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())))
         comp = cut(components(links))
         done = F.pmod(F.xxhash64("id", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))
