@@ -156,7 +156,7 @@ def haplotype_support(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """Per variant the haplotype tags of reads that show its allele, joined by
     ';' ('.' if none). reads: chrom, pos, base, hp, mapq, bq."""
     shown = reads.where("mapq >= 10 and bq >= 15").select("chrom", "pos", F.col("base").alias("alt"), "hp").distinct()
-    found = variants.join(shown, ["chrom", "pos", "alt"], "left").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.col("hp").cast("string"))).alias("s"))
+    found = variants.select(*KEY).join(shown, ["chrom", "pos", "alt"], "left").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.col("hp").cast("string"))).alias("s"))
     return found.select(*KEY, F.when(F.size("s") > 0, F.array_join("s", ";")).otherwise(".").alias("hpsup"))
 
 

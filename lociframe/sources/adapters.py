@@ -21,7 +21,7 @@ SELECT concat('S', l_suppkey) AS chrom, {days:l_shipdate} AS start, {days:l_ship
 FROM lineitem"""
 
 TARGETS = """
-SELECT concat('S', o_custkey % (SELECT count(*) FROM supplier) + 1) AS chrom, {days:o_orderdate} AS start,
+SELECT concat('S', o_custkey % (SELECT count(*) FROM supplier)) AS chrom, {days:o_orderdate} AS start,
        {days:o_orderdate} + 7 + (o_orderkey % 15) AS {end}, o_orderkey AS target_id
 FROM orders"""
 
@@ -47,7 +47,7 @@ SELECT DISTINCT qname, ln, pk, concat(10 + ln, '=', ln, 'X', 1 + pk % 3, 'I', qt
 def _render(sql: str, spark: bool) -> str:
     import re
 
-    day = (lambda m: f"datediff({m[1]}, DATE'1992-01-01')") if spark else (lambda m: f"CAST(date_diff('day', DATE '1992-01-01', CAST({m[1]} AS DATE)) AS INT)")
+    day = (lambda m: f"datediff({m[1]}, DATE'1995-01-01')") if spark else (lambda m: f"CAST(date_diff('day', DATE '1995-01-01', CAST({m[1]} AS DATE)) AS INT)")
     div = (lambda m: f"CAST({m[1]} div {m[2]} AS INT)") if spark else (lambda m: f"CAST({m[1]} // {m[2]} AS INT)")
     sql = re.sub(r"\{days:(\w+)\}", day, sql)
     sql = re.sub(r"\{div:([^:}]+):(\w+)\}", div, sql)
