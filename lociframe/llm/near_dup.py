@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, clear_names, components, cut, mix64, shingle_hashes, words_of
 
 SHINGLE = 5
+#: Bands and registers of a band; estimates use all REGISTERS.
 ROWS = 5
 BANDS = 40
-REGISTERS = ROWS * BANDS
+REGISTERS = 400
 MANTISSA = 10
 #: The code of a bucket without a hash.
 EMPTY = 0xFFFF
@@ -84,8 +85,8 @@ def filled(codes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(codes: np.ndarray) -> np.ndarray:
-    """A signed hash per band of filled registers."""
-    parts = filled(codes).reshape(BANDS, ROWS).astype(np.uint64)
+    """A signed hash per band of filled registers (the first BANDS * ROWS)."""
+    parts = filled(codes)[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, i])
@@ -114,6 +115,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - collide * (1 - j)) / np.maximum(size, 1), 0, 1), size
 
 
+def likely(estimates: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray, goal: float) -> np.ndarray:
+    """Whether pairs with these estimates may reach the goal.
+
+    The buckets in use hold the least hashes of a sample, drawn without
+    replacement, of the union; so the deviation is that of a hypergeometric
+    share, which vanishes for sets that are small beside REGISTERS.
+    """
+    union = np.maximum((n + m) / (1 + goal), used)
+    left = np.maximum(union - used, 1) / np.maximum(union - 1, 1)
+    return estimates >= goal - SLACK * np.sqrt(goal * (1 - goal) / np.maximum(used, 1) * np.minimum(left, 1)) - 1.0 / np.maximum(used, 1)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (set size), set1 and set2 (a 128-bit hash of the set), codes."""
     import xxhash
@@ -144,7 +157,9 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose estimate could belong to a link."""
-    side = reps.select("id", "n", "codes")
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    side = cut(reps.select("id", "n", "codes").join(ids, "id", "left_semi"))
     left = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
     both = pairs.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
@@ -158,7 +173,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 p = pdf.iloc[at : at + 2000]
                 a, b = (np.frombuffer(b"".join(p[c]), dtype="<u2").reshape(len(p), REGISTERS) for c in ("codes_a", "codes_b"))
                 j, size = estimate(a, b, p["n_a"].to_numpy(float), p["n_b"].to_numpy(float))
-                yield p.loc[j >= goal - SLACK * np.sqrt(goal * (1 - goal) / np.maximum(size, 1)), ["a", "b"]]
+                yield p.loc[likely(j, size, p["n_a"].to_numpy(float), p["n_b"].to_numpy(float), goal), ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -181,8 +196,9 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
             j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
             if len(j):
-                like, size = estimate(codes[j], codes[i][None], n[j].astype(float), np.full(len(j), float(n[i])))
-                j = j[like >= goal - SLACK * np.sqrt(goal * (1 - goal) / np.maximum(size, 1))]
+                own = np.full(len(j), float(n[i]))
+                like, size = estimate(codes[j], codes[i][None], n[j].astype(float), own)
+                j = j[likely(like, size, n[j].astype(float), own, goal)]
                 out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["id_a", "id_b"])
 
