@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import clear_names, cut, shuffle_parts
 
-SAMPLES = 32
+SAMPLES = 24
 #: Samples that one exploded row of a term carries.
 LANES = 4
 SEED = 77
@@ -62,14 +62,15 @@ def sample_key(term: Column, weight_ln: Column, k: Column, tables: tuple[Column,
     return F.shiftleft(scaled, 32).bitwiseOR((F.shiftrightunsigned(h, 16).bitwiseXOR(h).bitwiseAND(0x3FFFFFFF) + t).bitwiseAND(0xFFFFFFFF))
 
 
-def term_weights(text: Column) -> Column:
-    """The sorted hashed pairs of a text (its word, if it has one)."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    rest = F.greatest(n - 1, F.lit(1))
-    pairs = F.when(n < 2, hashed).otherwise(F.zip_with(F.slice(hashed, 1, rest), F.slice(hashed, 2, rest), lambda a, b: F.xxhash64(a, b)))
-    return F.sort_array(pairs)
+def hashed_pairs(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """keys and s: the sorted hashed pairs of a text (its word, if it has one;
+    EMPTY alone without words). Each step is a projection of its own, so that
+    no array is made twice."""
+    words = df.select(*keys, F.split(F.lower(text_col), r"[\x20\x09-\x0D]+").alias("w"))
+    words = words.select(*keys, F.array_remove("w", "").alias("w"))
+    hashes = words.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.size("w").alias("n"))
+    pairs = F.zip_with(F.slice("h", 1, F.greatest(F.col("n") - 1, F.lit(1))), F.slice("h", 2, F.greatest(F.col("n") - 1, F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    return hashes.select(*keys, F.sort_array(F.when(F.col("n") == 0, F.array(F.lit(EMPTY))).when(F.col("n") == 1, F.col("h")).otherwise(pairs)).alias("s"))
 
 
 def fingerprint_rows(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -162,10 +163,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("id").desc_nulls_last(), F.col("text"))).alias("place")
     base = rows.select("bucket", place, "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    kinds = F.array(*[F.struct(F.lit(e).alias("e"), term_weights(F.col(c)).alias("s")) for e, c in ((0, "text"), (1, "edited"))])
-    both = base.select("bucket", "place", F.explode(kinds).alias("x")).select("bucket", "place", F.col("x.e").alias("e"), F.col("x.s").alias("s"))
-    # a text without words keeps its row through one pair that no sample meets
-    both = both.withColumn("s", F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(EMPTY))))
+    kinds = F.array(*[F.struct(F.lit(e).alias("e"), F.col(c).alias("t")) for e, c in ((0, "text"), (1, "edited"))])
+    both = base.select("bucket", "place", F.explode(kinds).alias("x")).select("bucket", "place", F.col("x.e").alias("e"), F.col("x.t").alias("t"))
+    both = hashed_pairs(both, "t", ["bucket", "place", "e"])
     prints = fingerprint_rows(both, ["bucket", "place", "e"], samples)
     own = F.max(F.when(F.col("e") == 0, F.col("fingerprint")))
     alt = F.max(F.when(F.col("e") == 1, F.col("fingerprint")))
