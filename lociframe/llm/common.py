@@ -216,9 +216,10 @@ def components(links: DataFrame) -> DataFrame:
     being the smallest id reachable; ids without a link are absent.
 
     Each round maps every vertex to the smallest vertex in its closed
-    neighbourhood and rewrites the links through that map. A chain of n links
-    needs O(log n) rounds, and a component ends as its smallest vertex. Only
-    aggregates and joins run, so a vertex with very many links is no problem;
+    neighbourhood, follows that map to its fixed points by doubling, and
+    rewrites the links through it. Only local minima are left, at most half of
+    the vertices, so rounds and doublings are logarithmic, and a component ends
+    as its smallest vertex. Only aggregates and joins run, so a vertex with very many links is no problem;
     rounds are cut by checkpoint(). Null ids and loops are ignored.
     """
     edges = cut(
@@ -230,6 +231,12 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("to")))
+        while True:
+            ahead = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
+            jumped = cut(step.join(ahead, "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+            step = jumped.select("id", "to")
+            if jumped.where("moved").isEmpty():
+                break
         maps.append(step)
         edges = cut(
             edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
