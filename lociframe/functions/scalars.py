@@ -197,33 +197,104 @@ def runs(vector: Column, fits) -> Column:
 
 
 def count_snv(vector: Column) -> Column:
-    return runs(vector, lambda v: v == MISMATCH)
+    return runs(vector, _is_snv)
 
 
 def count_indel(vector: Column) -> Column:
-    return runs(vector, lambda v: (v == DELETED) | (v > MATCH))
+    return runs(vector, _is_indel)
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _block_sums(vector: Column, fits) -> Column:
+    """array of n + 1: how many runs of entries that fit begin before each place."""
+    opens = lambda i: fits(F.get(vector, i)) & ((i == 0) | ~fits(F.get(vector, F.greatest(i - 1, F.lit(0)))))
+    places = F.sequence(F.lit(0), F.size(vector) - 1)
+    return F.when(F.size(vector) > 0, F.aggregate(places, F.array(F.lit(0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.when(opens(i), 1).otherwise(0))))).otherwise(F.array(F.lit(0)))
+
+
+def _is_snv(v: Column) -> Column:
+    return v == MISMATCH
+
+
+def _is_indel(v: Column) -> Column:
+    return (v == DELETED) | (v > MATCH)
+
+
+def _blocks(vector: Column, sums: Column, fits, low: Column, high: Column) -> Column:
+    """Runs of entries that fit within [low, high); one may begin before low."""
+    return F.when(low < high, F.get(sums, high) - F.get(sums, low + 1) + F.when(fits(F.get(vector, low)), 1).otherwise(0)).otherwise(0)
+
+
+def _facts(vector: Column) -> Column:
+    return bound(vector, lambda v: F.struct(v.alias("v"), _block_sums(v, _is_snv).alias("snv"), _block_sums(v, _is_indel).alias("indel")))
+
+
+def _densities(f: Column, padding: int) -> Column:
+    n = F.size(f["v"])
+
+    def at(i):
+        low, high = F.greatest(i - padding, F.lit(0)), F.least(i + padding, n)
+        return (_blocks(f["v"], f["snv"], _is_snv, low, high) + _blocks(f["v"], f["indel"], _is_indel, low, high)) / F.lit(2.0 * padding + 1)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.expr("cast(array() as array<double>)"))
 
 
 def densities(vector: Column, padding: int) -> Column:
     """At each place i, variant blocks in [i - padding, i + padding) (cut at the
     ends) over 2 padding + 1."""
-    odd = F.transform(vector, lambda v: v != MATCH)
-    n = F.size(vector)
+    return bound(_facts(vector), lambda f: _densities(f, padding))
 
-    def at(i):
-        low = F.greatest(i - padding, F.lit(0))
-        part = F.slice(vector, low + 1, F.least(i + padding, n) - low)
-        return (count_snv(part) + count_indel(part)) / F.lit(2.0 * padding + 1)
 
-    return F.when(F.exists(odd, lambda x: x), F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)).otherwise(F.transform(vector, lambda v: F.lit(0.0)))
+#: Padding, variants and positions that make a place crowded.
+CROWDED = ((42, 5, 85), (65, 6, 131), (74, 12, 148))
 
 
 def extreme_density(vector: Column) -> Column:
-    """Whether the variants crowd: at +-42 a density of 5/85 and over one indel,
-    at +-65 one of 6/131 and over one indel, or at +-74 one of 12/148."""
-    indels = count_indel(vector) > 1
-    most = lambda k: F.coalesce(F.array_max(densities(vector, k)), F.lit(0.0))
-    return ((most(42) >= 5 / 85) & indels) | ((most(65) >= 6 / 131) & indels) | (most(74) >= 12 / 148)
+    """Whether the variants crowd: a stretch at +-42 of a density from 5/85 on
+    that holds, with its padding, over one indel; the same at +-65 from 6/131
+    on; or a place at +-74 from 12/148 on."""
+
+    def crowded(f: Column, padding: int, most: int, of: int) -> Column:
+        def several(x):
+            low, high = F.greatest(x["start"] - padding, F.lit(0)), F.least(x["end"] + padding, F.size(f["v"]))
+            return _blocks(f["v"], f["indel"], _is_indel, low, high) > 1
+
+        dense = F.transform(_densities(f, padding), lambda d: d >= most / of)
+        return F.exists(dense, lambda d: d) if of == CROWDED[-1][2] else F.exists(stretches(dense), several)
+
+    return bound(_facts(vector), lambda f: crowded(f, *CROWDED[0]) | crowded(f, *CROWDED[1]) | crowded(f, *CROWDED[2]))
+
+
+def stretches(flags: Column) -> Column:
+    """array<struct<start, end>> of the maximal runs of true, end inclusive."""
+
+    def of(f: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(f, i), F.lit(False))
+        places = F.when(F.size(f) > 0, F.sequence(F.lit(0), F.greatest(F.size(f) - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+        opens = F.filter(places, lambda i: at(i) & ((i == 0) | ~at(F.greatest(i - 1, F.lit(0)))))
+        closes = F.filter(places, lambda i: at(i) & ~at(i + 1))
+        return F.zip_with(opens, closes, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    return bound(flags, of)
+
+
+def reference_similarity(vector: Column, genomic: Column) -> Column:
+    """struct(size, other): variant blocks of the read's vector, and runs where
+    the genomic vector differs from it; both 0 if the genomic one is all
+    matches."""
+    plain = F.forall(genomic, lambda v: v == MATCH)
+    unlike = runs(F.zip_with(vector, genomic, lambda x, y: ~x.eqNullSafe(y)), lambda f: f)
+    return F.struct(F.when(plain, 0).otherwise(count_snv(vector) + count_indel(vector)).alias("size"), F.when(plain, 0).otherwise(unlike).alias("other"))
+
+
+def adjusted_strand(strand1: Column, relative: Column) -> Column:
+    """The strand of a pair's side 2 from the strand of its side 1 and their
+    relative strand; unchanged where side 1 has none."""
+    return F.when(strand1 == "-", F.when(relative == "+", "-").when(relative == "-", "+").otherwise(relative)).otherwise(relative)
 
 
 def equal_but_n(a: Column, b: Column, unknown: int = 4) -> Column:

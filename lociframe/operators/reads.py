@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import semi
+from ..functions.scalars import cigar_ops, haplotype_tag, longest_gap, parse_region, poisson_quantile
+from .intervals import overlaps, semi
 
 UNMAPPED, SECONDARY, QCFAIL, DUPLICATE, SUPPLEMENTARY, PROPER, FIRST, SECOND = 4, 256, 512, 1024, 2048, 2, 64, 128
 
@@ -116,3 +117,78 @@ def consensus(values: DataFrame) -> DataFrame:
     """group, pos, value of the least error (under 0.1; of equal ones the later
     read's). values: group, pos, value, err, read."""
     return values.where("err < 0.1").groupBy("group", "pos").agg(F.max_by("value", F.struct(-F.col("err"), F.col("read"))).alias("value"))
+
+
+def for_insert_sizes(df: DataFrame, longest: int = 8000) -> DataFrame:
+    """Properly paired primary reads whose template length tells an insert."""
+    bad = UNMAPPED | 8 | SECONDARY | SUPPLEMENTARY
+    return df.where(has(F.col("flag"), PROPER) & ~has(F.col("flag"), bad) & (F.col("chrom") == F.col("mate_chrom")) & (F.abs("tlen") <= longest))
+
+
+def for_mismatches(df: DataFrame) -> DataFrame:
+    """Surely placed reads (mapq 60, proper, primary, no alternative place)."""
+    bad = UNMAPPED | SECONDARY | SUPPLEMENTARY | DUPLICATE | QCFAIL
+    return df.where(has(F.col("flag"), PROPER) & ~has(F.col("flag"), bad) & (F.col("xa") == 0) & (F.col("mapq") == 60))
+
+
+def mismatch_limit(df: DataFrame, alpha: float = 0.05, least: int = 4) -> DataFrame:
+    """rate, cutoff: the mean of nm without the longest gap, and the smallest
+    count whose Poisson probability reaches 1 - alpha, at least `least`."""
+    own = F.col("nm") - longest_gap(cigar_ops(F.col("cigar")))
+    rate = df.agg(F.avg(F.greatest(own, F.lit(0))).alias("rate"))
+    return rate.withColumn("cutoff", F.greatest(poisson_quantile(F.col("rate"), 1 - alpha), F.lit(least)))
+
+
+def rebased(df: DataFrame, label: str) -> DataFrame:
+    """Places on masked contigs named chrom:offset as places on the genome; the
+    label goes to the read name."""
+    parts = F.split("contig", ":")
+    return df.withColumns({"chrom": parts[0], "pos": parts[1].cast("long") + F.col("pos"), "qname": F.concat(F.col("qname").cast("string"), F.lit(f":{label}"))}).drop("contig")
+
+
+def first_alignments(df: DataFrame) -> DataFrame:
+    """Of each origin (chrom:start-end in `origin`) the first alignment in scan
+    order, unless it is unmapped, supplementary or back at its own origin.
+    df: origin, scan, chrom, start, flag."""
+    first = first_of_duplicates(df, ["origin"], [F.col("scan")])
+    place = parse_region(F.col("origin"))
+    home = (F.col("chrom") == place["chrom"]) & (F.col("start") + 1 == place["start"])
+    return first.where(~has(F.col("flag"), UNMAPPED | SUPPLEMENTARY) & ~F.coalesce(home, F.lit(False)))
+
+
+def window_haplotypes(windows: DataFrame, spans: DataFrame, share: float = 0.8, enough: int = 2) -> DataFrame:
+    """chrom, start, end, hap, span_start, span_end: the haplotype spans that
+    enclose each window. A window of at most `enough` such spans shrinks to the
+    common part of the spans that cover at least `share` of it, and is given up
+    if still no more than `enough` are left. spans: chrom, start, end, hap."""
+    hit = overlaps(windows.select("chrom", "start", "end").distinct(), spans.select("chrom", "start", "end", "hap"))
+    encloses = (F.col("start_b") <= F.col("start")) & (F.col("end_b") >= F.col("end"))
+    wide = hit.withColumns({"encloses": encloses, "wide": ~encloses & (F.col("overlap_len") >= share * (F.col("end") - F.col("start")))})
+    one = Window.partitionBy("chrom", "start", "end")
+    told = wide.where("encloses or wide").withColumns({
+        "whole": F.sum(F.col("encloses").cast("int")).over(one), "n": F.count("*").over(one),
+        "low": F.greatest(F.col("start"), F.max(F.when(F.col("wide"), F.col("start_b"))).over(one)), "high": F.least(F.col("end"), F.min(F.when(F.col("wide"), F.col("end_b"))).over(one))})
+    enclosed = F.col("whole") > enough
+    kept = told.where((enclosed & F.col("encloses")) | (~enclosed & (F.col("whole") < F.col("n")) & (F.col("n") > enough)))
+    return kept.select("chrom", F.when(enclosed, F.col("start")).otherwise(F.col("low")).alias("start"), F.when(enclosed, F.col("end")).otherwise(F.col("high")).alias("end"), F.col("hap_b").alias("hap"), F.col("start_b").alias("span_start"), F.col("end_b").alias("span_end"))
+
+
+def haplotype_depths(records: DataFrame, length: float) -> DataFrame:
+    """Adds hap_depth = reads * length / span (spans under a read count as one),
+    cut to a whole number, and total_depth, the sum over the window before the
+    cut. records: chrom, start, end, n_reads, span."""
+    depth = F.col("n_reads") * length / F.greatest(F.col("span").cast("double"), F.lit(float(length)))
+    total = F.sum(depth).over(Window.partitionBy("chrom", "start", "end"))
+    return records.withColumns({"hap_depth": depth.cast("int"), "total_depth": total.cast("int")})
+
+
+def classified(reads: DataFrame, names: DataFrame, chunk: str) -> DataFrame:
+    """Adds tag and kept to primary reads. names: qname, hap, status (correct,
+    mismapped, lowqual; others are noisy). Kept: mapped with mapq over 10, of a
+    correct name, no duplicate or failure."""
+    known = names.select("qname", F.col("hap").alias("__hap"), F.col("status").alias("__status"))
+    primary = reads.where(~has(F.col("flag"), SECONDARY | SUPPLEMENTARY)).join(known, "qname", "left")
+    status = F.coalesce("__status", F.lit("noisy"))
+    tag = haplotype_tag(F.lit(chunk), F.coalesce(F.col("__hap").cast("string"), F.lit("NA")), status.isin("mismapped", "noisy"), status == "lowqual")
+    kept = (F.col("mapq") > 10) & ~has(F.col("flag"), UNMAPPED | DUPLICATE | QCFAIL) & (status == "correct")
+    return primary.withColumns({"tag": tag, "kept": kept}).drop("__hap", "__status")

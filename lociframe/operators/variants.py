@@ -164,3 +164,30 @@ def allele_depths(bases: DataFrame) -> DataFrame:
     """chrom, pos, base, ad, dp of observed bases."""
     ad = bases.groupBy("chrom", "pos", "base").agg(F.count("*").alias("ad"))
     return ad.withColumn("dp", F.sum("ad").over(Window.partitionBy("chrom", "pos")))
+
+
+def annotate(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns of the same variant in other (one row per variant)."""
+    return df.join(other.select(*KEY, *columns), KEY, "left")
+
+
+def depth_lookup(truth: DataFrame, **tables: DataFrame) -> DataFrame:
+    """Adds name_dp and name_alt from each allele depth table (chrom, pos, base,
+    ad, dp): a missing allele has depth 0; without any depth both are null."""
+    out = truth
+    for name, table in tables.items():
+        total = table.groupBy("chrom", "pos").agg(F.max("dp").alias(f"{name}_dp"))
+        own = table.select("chrom", "pos", F.col("base").alias("alt"), F.col("ad").alias(f"{name}_alt"))
+        out = out.join(total, ["chrom", "pos"], "left").join(own, ["chrom", "pos", "alt"], "left")
+        out = out.withColumn(f"{name}_alt", F.when(F.col(f"{name}_dp") > 0, F.coalesce(f"{name}_alt", F.lit(0))))
+    return out
+
+
+#: Which columns make two records equal.
+EQUALITIES = {"site": ["chrom", "pos"], "rough": KEY, "exact": [*KEY, "gt"]}
+
+
+def members(df: DataFrame, other: DataFrame, equality: str = "rough") -> DataFrame:
+    """Rows of df that other has too, by site, variant or genotype."""
+    keys = EQUALITIES[equality]
+    return df.join(other.select(*keys).distinct(), keys, "left_semi")

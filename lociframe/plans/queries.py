@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import graphs, intervals, reads, variants
+from ..operators import graphs, intervals, paralogs, phasing, reads, variants
 from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,3 +353,105 @@ SELECT v.chrom, v.pos, v.ref, v.alt, coalesce(string_agg(DISTINCT CAST(b.hp AS V
     lambda v, r: variants.haplotype_support(r.select("chrom", F.floor(F.col("start") / 7).cast("int").alias("pos"), F.expr("substr('ACGT', cast(pk % 4 as int) + 1, 1)").alias("base"), (F.col("ln") % 4).alias("hp"), "mapq", (F.col("ln") * 6).alias("bq")), v.where("side = 'q'")))
 query("upsert", "chrom:s pos:i ref:s alt:s ac:i", "variants", f"WITH {SIDES} SELECT chrom, pos, ref, alt, ac FROM r UNION ALL SELECT q.chrom, q.pos, q.ref, q.alt, q.ac FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt)")(
     lambda v: variants.upsert(v.where("side = 'q'"), v.where("side = 'r'"), variants.KEY))
+
+# --- lookups between variant sets ------------------------------------------------------------------
+query("vcf_annotate", f"{VK} ac_r:i an_r:i", "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt, r.ac AS ac_r, r.an AS an_r FROM q LEFT JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
+    lambda v: variants.annotate(v.where("side = 'q'"), v.where("side = 'r'").select(*variants.KEY, F.col("ac").alias("ac_r"), F.col("an").alias("an_r")), ["ac_r", "an_r"]))
+for _mode, _on in (("site", "q.chrom = r.chrom AND q.pos = r.pos"), ("exact", f"q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt AND {GT.format(s='q')} = {GT.format(s='r')}")):
+    query(f"vcf_members_{_mode}", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q WHERE EXISTS (SELECT 1 FROM r WHERE {_on})")(lambda v, m=_mode: variants.members(_side(v, "q"), _side(v, "r"), m))
+query("depth_lookup", f"{VK} deep_dp:i deep_alt:i", "variants reads", f"""WITH {SIDES}, t AS (SELECT chrom, CAST(start // 7 AS INT) AS pos, substr('ACGT', CAST(pk % 4 AS INT) + 1, 1) AS base FROM reads WHERE mapq >= 10)
+SELECT q.chrom, q.pos, q.ref, q.alt, (SELECT nullif(count(*), 0) FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos) AS deep_dp,
+ CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos) THEN (SELECT count(*) FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos AND t.base = q.alt) END AS deep_alt FROM q""")(
+    lambda v, r: variants.depth_lookup(v.where("side = 'q'"), deep=variants.allele_depths(r.where("mapq >= 10").select("chrom", F.floor(F.col("start") / 7).cast("int").alias("pos"), F.expr("substr('ACGT', cast(pk % 4 as int) + 1, 1)").alias("base")))))
+
+# --- reads and their names ---------------------------------------------------------------------------
+STATUS = "CASE WHEN max(tag_xs) >= 8 THEN 'lowqual' WHEN max(xa) = 1 THEN 'mismapped' WHEN min(ln) > 1 THEN 'noisy' ELSE 'correct' END"
+query("classify_reads", "qname:i ln:i pk:i start:i tag:s kept:b", "reads", f"""WITH n AS (SELECT qname, min(pk) % 7 AS hap, {STATUS} AS status FROM reads GROUP BY qname)
+SELECT r.qname, ln, pk, start, CASE WHEN status = 'lowqual' THEN 'LOWQUAL' ELSE 'chunk0_' || hap || CASE WHEN status = 'correct' THEN '' ELSE '_HIGHVD' END END AS tag, mapq > 10 AND (flag & 1540) = 0 AND status = 'correct' AS kept FROM reads r JOIN n ON n.qname = r.qname WHERE (flag & 2304) = 0""")(
+    lambda r: reads.classified(r, r.groupBy("qname").agg((F.min("pk") % 7).alias("hap"), F.expr(STATUS).alias("status")), "0"))
+query("first_alignments", "origin:s chrom:s start:i scan:i", "reads", """SELECT origin, chrom, start, scan FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY scan, chrom, start) AS n FROM (SELECT DISTINCT chrom, start, flag, 'S' || sk || ':' || (start - start % 50 + 1) || '-' || (start + 100) AS origin, qname * 100 + ln * 10 + pk % 10 AS scan FROM reads) x) y
+WHERE n = 1 AND (flag & 2052) = 0 AND NOT (start % 50 = 0)""")(
+    lambda r: reads.first_alignments(r.select("chrom", "start", "flag", F.concat(F.lit("S"), "sk", F.lit(":"), F.col("start") - F.col("start") % 50 + 1, F.lit("-"), F.col("start") + 100).alias("origin"), (F.col("qname") * 100 + F.col("ln") * 10 + F.col("pk") % 10).alias("scan")).distinct().withColumn("scan", F.struct("scan", "chrom", "start"))).withColumn("scan", F.col("scan.scan")))
+query("mismatch_limit", "rate:d cutoff:i", "cigars", VEC + """, a AS (SELECT avg(v[2] + v[3] + v[5] - greatest(CASE WHEN v[3] > 1 THEN v[3] ELSE 0 END, CASE WHEN v[5] > 1 THEN v[5] ELSE 0 END)) AS rate FROM n),
+c AS (SELECT rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT rate, unnest(generate_series(0, 99)) AS k FROM a) x)
+SELECT rate, greatest(4, min(k)) AS cutoff FROM c WHERE s >= 0.95 GROUP BY rate""")(
+    lambda c: reads.mismatch_limit(c.withColumn("nm", F.aggregate(F.filter(sc.cigar_ops(F.col("cigar")), lambda x: x["op"].isin("X", "I", "D")), F.lit(0), lambda a, x: a + x["len"]))))
+query("hap_depth", "chrom:s start:i hap:i hap_depth:i total_depth:i", "reads", """WITH g AS (SELECT chrom, start // 120 * 120 AS start, pk % 7 AS hap, count(*) * 25.0 / greatest(max("end") - min(start), 25) AS d FROM reads GROUP BY 1, 2, 3)
+SELECT chrom, start, hap, floor(d) AS hap_depth, floor(sum(d) OVER (PARTITION BY chrom, start) + 1e-9) AS total_depth FROM g""")(
+    lambda r: reads.haplotype_depths(r.groupBy("chrom", (F.floor(F.col("start") / 120) * 120).alias("w"), (F.col("pk") % 7).alias("hap")).agg(F.count("*").alias("n_reads"), (F.max("end") - F.min("start")).alias("span")).select("chrom", F.col("w").alias("start"), (F.col("w") + 120).alias("end"), "hap", "n_reads", "span"), 25))
+SPANS = f"""sp AS ({MERGE.format(k="chrom, hap", g=0, t="(SELECT chrom, start, \"end\", pk % 7 AS hap FROM reads)")})"""
+query("window_haplotypes", "chrom:s start:i end:i hap:i span_start:i span_end:i", "reads", f"""WITH {BLOCKS.format(k=5)}, {SPANS},
+wi AS (SELECT DISTINCT chrom, w AS start, least(w + 30, "end") AS "end" FROM (SELECT chrom, "end", unnest(generate_series(start, "end" - 1, 30)) AS w FROM mrg) x),
+h AS (SELECT wi.*, sp.hap, sp.start AS s, sp."end" AS e, sp.start <= wi.start AND sp."end" >= wi."end" AS enc, least(wi."end", sp."end") - greatest(wi.start, sp.start) >= 0.8 * (wi."end" - wi.start) AS big FROM wi JOIN sp ON wi.chrom = sp.chrom AND wi.start < sp."end" AND sp.start < wi."end"),
+g AS (SELECT chrom, start, "end", sum(CASE WHEN enc THEN 1 ELSE 0 END) AS whole, sum(CASE WHEN enc OR big THEN 1 ELSE 0 END) AS n, max(CASE WHEN big AND NOT enc THEN s END) AS lo, min(CASE WHEN big AND NOT enc THEN e END) AS hi FROM h GROUP BY ALL)
+SELECT h.chrom, CASE WHEN whole > 2 THEN h.start ELSE greatest(h.start, lo) END AS start, CASE WHEN whole > 2 THEN h."end" ELSE least(h."end", hi) END AS "end", hap, s AS span_start, e AS span_end
+FROM h JOIN g ON h.chrom = g.chrom AND h.start = g.start AND h."end" = g."end" WHERE (whole > 2 AND enc) OR (whole <= 2 AND n > 2 AND n > whole AND (enc OR big))""")(
+    lambda r: reads.window_haplotypes(intervals.windows(intervals.depth_blocks(intervals.depth_runs(r), 5, one_based=False), 30, 30), intervals.merge(r.select("chrom", "start", "end", (F.col("pk") % 7).alias("hap")), 0, ("chrom", "hap"))))
+
+# --- vectors ---------------------------------------------------------------------------------------------
+query("stretches", "qname:i ln:i pk:i start:i end:i", "cigars", VEC + """ SELECT qname, ln, pk, v[1] AS start, v[1] + v[2] + CASE WHEN v[4] = 1 THEN v[5] ELSE 0 END AS "end" FROM n
+UNION ALL SELECT qname, ln, pk, v[1] + v[2] + v[4], v[1] + v[2] + v[4] + v[5] - 1 FROM n WHERE v[4] > 1""")(
+    lambda c: c.select("qname", "ln", "pk", F.explode(sc.stretches(F.transform(sc.read_vector(sc.cigar_ops(F.col("cigar"))), lambda v: v != sc.MATCH))).alias("x")).select("qname", "ln", "pk", "x.start", "x.end"))
+KIND = """, b AS (SELECT qname, ln, pk, v, unnest(generate_series(0, v[1] + v[2] + v[4] + v[5] + v[6] - 1)) AS i FROM n),
+k AS (SELECT *, CASE WHEN i BETWEEN v[1] AND v[1] + v[2] - 1 THEN 1 WHEN i = v[1] + v[2] OR i BETWEEN v[1] + v[2] + v[4] AND v[1] + v[2] + v[4] + v[5] - 1 THEN 2 ELSE 0 END AS kind FROM b),
+o AS (SELECT *, CASE WHEN kind > 0 AND kind <> coalesce(lag(kind) OVER (PARTITION BY qname, ln, pk, v ORDER BY i), 0) THEN 1 ELSE 0 END AS opens FROM k),
+d AS (SELECT *, sum(opens) OVER w + CASE WHEN first_value(kind) OVER w > 0 AND first_value(opens) OVER w = 0 THEN 1 ELSE 0 END AS blocks FROM o WINDOW w AS (PARTITION BY qname, ln, pk, v ORDER BY i ROWS BETWEEN 42 PRECEDING AND 41 FOLLOWING))"""
+query("var_density", "qname:i ln:i pk:i most:d total:d", "cigars", VEC + KIND + " SELECT qname, ln, pk, max(blocks) / 85.0 AS most, sum(blocks) / 85.0 AS total FROM d GROUP BY qname, ln, pk, v")(
+    lambda c: c.select("qname", "ln", "pk", sc.densities(sc.read_vector(sc.cigar_ops(F.col("cigar"))), 42).alias("d")).select("qname", "ln", "pk", F.array_max("d").alias("most"), F.aggregate("d", F.lit(0.0), lambda a, x: a + x).alias("total")))
+query("extreme_density", "qname:i ln:i pk:i extreme:b", "cigars")(
+    lambda c: c.select("qname", "ln", "pk", sc.extreme_density(sc.read_vector(sc.cigar_ops(F.col("cigar")))).alias("extreme")))
+query("ref_similarity", "qname:i ln:i pk:i size:i other:i", "cigars", VEC + " SELECT qname, ln, pk, CASE WHEN v[4] = 1 THEN 2 ELSE 3 END AS size, 1 + CASE WHEN v[4] = 1 THEN 0 ELSE 1 END + CASE WHEN v[6] > 1 OR v[5] = 0 THEN 1 ELSE 0 END AS other FROM n")(
+    lambda c: c.select("qname", "ln", "pk", sc.read_vector(sc.cigar_ops(F.col("cigar"))).alias("v")).select("qname", "ln", "pk", sc.reference_similarity(F.col("v"), F.concat(F.array_repeat(F.lit(1), F.size("v") - 1), F.array(F.lit(sc.MISMATCH)))).alias("s")).select("qname", "ln", "pk", "s.size", "s.other"))
+
+
+def _sequenced(r: DataFrame, c: DataFrame) -> DataFrame:
+    """Reads with the base ACGT[pos % 4] at each place before an insertion."""
+    seq = F.substring(F.repeat(F.lit("ACGT"), 60), F.col("start") % 4 + 1, 200)
+    quals = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: (i * 7 + F.col("qname")) % 30 + 5)
+    some = r.select("qname", "ln", "pk", "chrom", "start").distinct().join(c, ["qname", "ln", "pk"])
+    return some.select(F.concat_ws(":", "qname", "ln", "pk", "chrom", "start", "cigar").alias("id"), "qname", "chrom", "start", "cigar", seq.alias("seq"), quals.alias("quals"))
+
+
+@query("phase_edges", "a:i b:i weight:d", "reads cigars")
+def phase_edges(r: DataFrame, c: DataFrame) -> DataFrame:
+    """How surely two read pairs come from one haplotype."""
+    return phasing.phase_edges(phasing.compared_pairs(phasing.described(_sequenced(r, c)), 25.0), 25.0)
+
+
+# --- counterparts and groups ---------------------------------------------------------------------------------
+query("adjusted_strand", "chr_1:s start_1:i chr_2:s start_2:i strand:s", "sd_pairs", "SELECT chr_1, start_1, chr_2, start_2, CASE WHEN strand1 = '-' THEN CASE WHEN strand2 = '+' THEN '-' ELSE '+' END ELSE strand2 END AS strand FROM sd_pairs")(
+    lambda p: p.select("chr_1", "start_1", "chr_2", "start_2", sc.adjusted_strand(F.col("strand1"), F.col("strand2")).alias("strand")))
+query("iv_lift_rel", "grp:s chrom:s start:i end:i", "sd_pairs targets", f"""WITH p AS (SELECT DISTINCT chr_1, start_1, end_1, strand1, chr_2, start_2, end_2, strand2, concat_ws(':', chr_1, start_1, end_1, strand1, chr_2, start_2, end_2, strand2) AS grp FROM sd_pairs),
+rel AS (SELECT p.*, greatest(0, t.start - start_1 - 2) AS start, least(end_1 - start_1, t."end" - start_1 + 2) AS "end" FROM p JOIN targets t ON p.chr_1 = t.chrom AND p.start_1 < t."end" AND t.start < p.end_1),
+m AS ({MERGE.format(k="grp, chr_2, start_2, end_2, end_1, start_1, strand1, strand2", g=0, t="rel")})
+SELECT * FROM (SELECT grp, chr_2 AS chrom, greatest(start_2, CASE WHEN strand1 = strand2 THEN start_2 + start ELSE end_2 - "end" END) AS start, least(end_2, CASE WHEN strand1 = strand2 THEN start_2 + "end" ELSE end_2 - start END) AS "end" FROM m) x WHERE start < "end" """)(
+    lambda p, t: (lambda d: intervals.lift_relative(*[d.select("group", F.col(f"chr_{i}").alias("chrom"), F.col(f"start_{i}").alias("start"), F.col(f"end_{i}").alias("end"), F.col(f"strand{i}").alias("strand")) for i in (1, 2)], t, 2).withColumnRenamed("group", "grp"))(
+        p.drop("rate").distinct().withColumn("group", F.concat_ws(":", "chr_1", "start_1", "end_1", "strand1", "chr_2", "start_2", "end_2", "strand2"))))
+query("vertex_loads", "id:s degree:i load:i", "sd_pairs", f"""WITH h AS ({EDGE_SQL}), u AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+c(id, l) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, c.l FROM c JOIN u ON u.a = c.id AND c.l < u.b),
+p AS (SELECT id, min(l) AS part FROM c GROUP BY id), s AS (SELECT part, count(*) AS n FROM p GROUP BY part), g AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY a)
+SELECT p.id, degree, degree * n AS load FROM p JOIN s ON s.part = p.part JOIN g ON g.id = p.id""")(lambda p: graphs.loads(graphs.homology_edges(p), graphs.components(graphs.homology_edges(p))))
+
+
+def _counterparts(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, parts = _component_edges(p)
+    place = F.split("id", ":")
+    nodes = graphs.checkpointed(parts.select("id", "component", place[0].alias("chrom"), place[1].cast("int").alias("start"), place[2].cast("int").alias("end"), place[3].alias("strand")))
+    weighted = edges.select("a", "b", "component", (F.col("weight") / 200).alias("weight"), F.lit(False).alias("overlap"))
+    found = graphs.checkpointed(paralogs.counterparts(weighted, nodes, nodes.select(F.col("id").alias("source"), "component"), least=5))
+    return found, nodes, parts
+
+
+@query("counterparts", "source:s target:s chrom:s start:i end:i strand:s rel_start:i rel_end:i identity:d", "sd_pairs")
+def counterparts(p: DataFrame) -> DataFrame:
+    """The windows that each region's homologies lead to."""
+    return _counterparts(p)[0]
+
+
+@query("group_regions", "chrom:s start:i end:i rel_start:i rel_end:i strand:s tag:s", "sd_pairs")
+def group_regions(p: DataFrame) -> DataFrame:
+    """Realign groups: conflict-free queries with their counterparts."""
+    found, nodes, parts = _counterparts(p)
+    clash = graphs.checkpointed(paralogs.conflicts(found, nodes).join(parts.select(F.col("id").alias("a"), "component"), "a"))
+    groups = paralogs.realign_groups(found, graphs.colours(clash, parts), nodes)
+    return paralogs.group_regions(groups, found, nodes)
