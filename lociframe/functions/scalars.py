@@ -190,10 +190,17 @@ def query_index(ops: Column) -> Column:
     return F.aggregate(ops, zero, step, lambda a: a["v"])
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def runs(vector: Column, fits) -> Column:
     """The number of maximal runs of entries that fit."""
-    flags = F.transform(vector, fits)
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(flags), F.lit(1))), lambda i: (F.size(flags) > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)) & ((i == 1) | ~F.coalesce(F.get(flags, i - 2), F.lit(False)))))
+    def of(flags: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(flags), F.lit(1))), lambda i: (F.size(flags) > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)) & ((i == 1) | ~F.coalesce(F.get(flags, i - 2), F.lit(False)))))
+
+    return bound(F.transform(vector, fits), of)
 
 
 def count_snv(vector: Column) -> Column:
@@ -204,11 +211,6 @@ def count_indel(vector: Column) -> Column:
     return runs(vector, _is_indel)
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value worked out once, also where lambdas use it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _block_sums(vector: Column, fits) -> Column:
     """array of n + 1: how many runs of entries that fit begin before each place."""
     opens = lambda i: fits(F.get(vector, i)) & ((i == 0) | ~fits(F.get(vector, F.greatest(i - 1, F.lit(0)))))

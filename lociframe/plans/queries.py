@@ -355,7 +355,7 @@ query("upsert", "chrom:s pos:i ref:s alt:s ac:i", "variants", f"WITH {SIDES} SEL
     lambda v: variants.upsert(v.where("side = 'q'"), v.where("side = 'r'"), variants.KEY))
 
 # --- lookups between variant sets ------------------------------------------------------------------
-query("vcf_annotate", f"{VK} ac_r:i an_r:i", "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt, r.ac AS ac_r, r.an AS an_r FROM q LEFT JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
+query("vcf_annotate", f"{VK} ac_r:s an_r:s", "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt, r.ac AS ac_r, r.an AS an_r FROM q LEFT JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
     lambda v: variants.annotate(v.where("side = 'q'"), v.where("side = 'r'").select(*variants.KEY, F.col("ac").alias("ac_r"), F.col("an").alias("an_r")), ["ac_r", "an_r"]))
 for _mode, _on in (("site", "q.chrom = r.chrom AND q.pos = r.pos"), ("exact", f"q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt AND {GT.format(s='q')} = {GT.format(s='r')}")):
     query(f"vcf_members_{_mode}", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q WHERE EXISTS (SELECT 1 FROM r WHERE {_on})")(lambda v, m=_mode: variants.members(_side(v, "q"), _side(v, "r"), m))
