@@ -16,11 +16,12 @@ BIN = 64
 
 def islands(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), out: str = "island") -> DataFrame:
     """Adds an island number per keys: rows whose start is at most `gap` after
-    the furthest end so far share one. Book-ended intervals (gap 0) touch."""
+    the furthest end so far share one. Book-ended intervals (gap 0) touch. Equal
+    intervals are peers, so that the number hangs on no order among them."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
-    return df.withColumn("__opens", opens).withColumn(out, F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+    return df.withColumn("__opens", opens).withColumn(out, F.sum("__opens").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__opens")
 
 
 def merge(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), **aggregates: Column) -> DataFrame:

@@ -57,7 +57,7 @@ def query(name: str, columns: str, tables: str, sql: str | None = None):
 IV = "chrom:s start:i end:i"
 #: SQL of merged intervals of table t (keys k, gap g).
 MERGE = """SELECT {k}, min(start) AS start, max("end") AS "end" FROM (
-  SELECT *, sum(o) OVER (PARTITION BY {k} ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, sum(o) OVER (PARTITION BY {k} ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS g FROM (
     SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY {k} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {g} THEN 0 ELSE 1 END AS o FROM {t}) a) b
 GROUP BY {k}, g"""
 DEPTH = """SELECT * FROM (
@@ -118,7 +118,7 @@ query("iv_windows", IV, "reads", f'WITH {BLOCKS.format(k=5)} SELECT chrom, w AS
     lambda r: intervals.windows(intervals.depth_blocks(intervals.depth_runs(r), 5, one_based=False), 120, 30))
 query("iv_contained", IV, "reads", """SELECT chrom, start, "end" FROM (SELECT DISTINCT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT chrom, start, "end" FROM reads) d) x WHERE m IS NULL OR "end" > m""")(
     lambda r: intervals.drop_contained(r.select("chrom", "start", "end").distinct()))
-query("iv_cont_regions", "chrom:s island:i n:i start:i end:i", "reads", """SELECT chrom, g AS island, count(*) AS n, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+query("iv_cont_regions", "chrom:s island:i n:i start:i end:i", "reads", """SELECT chrom, g AS island, count(*) AS n, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM reads) a) b GROUP BY chrom, g""")(
     lambda r: intervals.islands(r).groupBy("chrom", "island").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")))
 query("iv_concat", "chrom:s start:i end:i", "reads targets", 'SELECT chrom, start, "end" FROM reads UNION ALL SELECT chrom, start, "end" FROM targets')(lambda r, t: r.select("chrom", "start", "end").unionByName(t.select("chrom", "start", "end")))
