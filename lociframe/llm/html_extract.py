@@ -3,11 +3,11 @@
 A page is a row of tokens: opening and closing tags with their path in the
 document tree, and short pieces of text with theirs. Tokens that occur equally
 often on every page of a host share an occurrence vector and form a class.
-Classes on enough pages whose tokens keep one order on each are valid; the one
-of tokens that occur once a page spans the template, and the others nest in a
-gap of it. What lies between template tokens are slots; the gap that holds most
-unlinked words over all pages of the host, outside menus and the like, names
-the main element, and a page's text is what that element holds.
+Classes that are once on each of most pages, with their tokens in one order on
+most of those that have them, are valid and make up the root of the template.
+The gaps between its tokens are slots; the root element whose gaps hold most
+unlinked words over all pages of the host, outside menus and the like, is the
+main element, and a page's text is what that element holds.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ TOKEN_WORDS = 8
 #: Share of a group's pages that a class is on at least, and pages of a host
 #: below which the pages of all such hosts are one group.
 SUPPORT, LEAST_PAGES = 0.5, 3
+#: Share of a group's pages with elements that a root token is once on at least,
+#: and of the pages of a root class that have its tokens in order.
+ROOT_SHARE = 0.65
 #: Characters of all templates together that are broadcast; else they are joined.
 MAX_BROADCAST = 48_000_000
 #: Hosts of few pages that are broadcast; else they are joined.
@@ -43,6 +46,8 @@ INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES_P = frozenset("article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SCOPE = frozenset("ul ol dl table article section div body html td th main aside nav footer header form".split())
+#: Elements that are parts of a text.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote table".split())
 #: Elements and name parts of what is not the main text.
 ASIDE_TAGS = frozenset("nav header footer aside form head title button dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
@@ -107,7 +112,7 @@ class Page:
                 k -= 1
             names, role = _names(m[4] or "")
             path, aside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            first = names.split()[0] if names else ""
+            first = re.sub(r"[/#>]", "_", names.split()[0]) if names else ""  # these part a token
             path = f"{path}/{tag}{'.' + first if first else ''}"
             aside = aside or tag in ASIDE_TAGS or role in ASIDE_ROLES or bool(names and ASIDE_NAMES.search(names))
             self.tokens.append(path)
@@ -151,8 +156,9 @@ def _hash(*parts) -> int:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, pages, vector (sum of hashes of page and count), most (on a
-    page), place (sum of relative places); token "" counts the pages."""
+    """host, token, pages, vector (sum of hashes of page and count), once (pages
+    that have it once), place (sum of relative places); token "" counts the
+    pages that have elements."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -162,16 +168,17 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                 first: dict[str, int] = {}
                 for i, t in enumerate(tokens):
                     first.setdefault(t, i)
-                for t, n in [*Counter(tokens).items(), ("", 1)]:
+                counted = [("", 1)] if any("#" not in t for t in first) else []
+                for t, n in [*Counter(tokens).items(), *counted]:
                     o = out[host, t]
                     o[0] += 1
                     o[1] += _hash(key, n)
-                    o[2] = max(o[2], n)
+                    o[2] += n == 1
                     o[3] += first.get(t, 0) / max(1, len(tokens))
-            yield pd.DataFrame([(h, t, *o) for (h, t), o in out.items()], columns=["host", "token", "pages", "vector", "most", "place"])
+            yield pd.DataFrame([(h, t, *o) for (h, t), o in out.items()], columns=["host", "token", "pages", "vector", "once", "place"])
 
-    found = pages.mapInPandas(run, "host string, token string, pages long, vector long, most long, place double")
-    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.max("most").alias("most"), F.sum("place").alias("place"))
+    found = pages.mapInPandas(run, "host string, token string, pages long, vector long, once long, place double")
+    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("once").alias("once"), F.sum("place").alias("place"))
 
 
 def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -180,57 +187,45 @@ def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(templates) if size <= MAX_BROADCAST else templates, "host", "left")
 
 
-def _gaps(page: Page, root: list[str]) -> tuple[bool, list[int]]:
-    """Whether the root tokens are in order on this page, and their places."""
-    where = {t: i for i, t in enumerate(page.tokens)}
-    places = [where.get(t, -1) for t in root]
-    seen = [p for p in places if p >= 0]
-    return seen == sorted(seen), places
-
-
 def _evidence(pages: DataFrame) -> DataFrame:
-    """host, kind, name, good, low, high, words: for each class (kind c) if its
-    tokens keep their order and in which gaps of the root they lie, for each
-    gap (kind g) its unlinked words outside asides."""
+    """host, kind, name, good, seen, words: for each root class (kind c) the
+    pages that have it and those on which its tokens keep their order, for each
+    gap (kind g, named by the root token before it) its unlinked words outside
+    asides."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out: dict[tuple, list] = {}
-
-            def note(key, good, low, high, words, out=out):
-                o = out.setdefault(key, [True, low, high, 0])
-                o[0], o[1], o[2], o[3] = o[0] and good, min(o[1], low), max(o[2], high), o[3] + words
-
+            out: dict[tuple, list] = defaultdict(lambda: [0, 0, 0])
             for host, html, tokens, classes in zip(pdf["host"], pdf["html"], pdf["tokens"], pdf["classes"], strict=True):
                 if tokens is None or not len(tokens):
                     continue
-                page, groups = Page(html), defaultdict(list)
-                for t, c in zip(tokens, classes, strict=True):
-                    groups[c].append(t)
-                root = groups.pop("root", [])
-                ordered, places = _gaps(page, root)
-                note((host, "c", "root"), ordered, 0, 0, 0)
-                marks = sorted((p, k) for k, p in enumerate(places) if p >= 0)
-                # the gap after root token k, for each place on the page
+                page = Page(html)
+                where: dict[str, int] = {}
+                for i, t in enumerate(page.tokens):
+                    where.setdefault(t, i)
+                groups, marks = defaultdict(list), []
+                for k, (t, c) in enumerate(zip(tokens, classes, strict=True)):
+                    if c.startswith("root") and t in where:
+                        groups[c].append(where[t])
+                        marks.append((where[t], k))
+                for name, places in groups.items():
+                    o = out[host, "c", name]
+                    o[0] += places == sorted(places)
+                    o[1] += 1
+                # the root token before each place on the page
+                marks.sort()
                 gap, at, k = [], -1, 0
                 for i in range(len(page.tokens) + 1):
-                    gap.append(at)
-                    while k < len(marks) and marks[k][0] <= i:
+                    while k < len(marks) and marks[k][0] < i:
                         at, k = marks[k][1], k + 1
-                for name, own in groups.items():
-                    index = {t: j for j, t in enumerate(own)}
-                    seen = [(i, index[t]) for i, t in enumerate(page.tokens) if t in index]
-                    good = all(j == i % len(own) for i, (_, j) in enumerate(seen))
-                    if seen:
-                        note((host, "c", name), good, gap[seen[0][0]], gap[seen[-1][0]], 0)
+                    gap.append(at)
                 for place, _, _, linked, aside, piece in page.texts:
-                    if not linked and not aside:
-                        g = gap[min(place, len(gap) - 1)]
-                        note((host, "g", str(g)), True, g, g, len(piece.split()))
-            yield pd.DataFrame([(*key, *o) for key, o in out.items()], columns=["host", "kind", "name", "good", "low", "high", "words"])
+                    if not linked and not aside and gap[place] >= 0:
+                        out[host, "g", str(gap[place])][2] += len(piece.split())
+            yield pd.DataFrame([(*key, *o) for key, o in out.items()], columns=["host", "kind", "name", "good", "seen", "words"])
 
-    found = pages.mapInPandas(run, "host string, kind string, name string, good boolean, low int, high int, words long")
-    return found.groupBy("host", "kind", "name").agg(F.min("good").alias("good"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("words").alias("words"))
+    found = pages.mapInPandas(run, "host string, kind string, name string, good long, seen long, words long")
+    return found.groupBy("host", "kind", "name").agg(*[F.sum(c).alias(c) for c in ("good", "seen", "words")])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -240,9 +235,9 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = cut(_occurrences(pages))
     total = seen.where("token = ''").select("host", F.col("pages").alias("of"))
     often = seen.where("token <> ''").join(total, "host").where((F.col("pages") >= SUPPORT * F.col("of")) & (F.col("pages") >= 2))
-    # one occurrence on each page that has the token: root, others by vector
-    everywhere = (F.col("most") == 1) & (F.col("pages") == F.col("of"))
-    name = F.when(everywhere, F.lit("root")).otherwise(F.concat_ws(":", "pages", "vector"))
+    # a class that is once on each of most pages is part of the root
+    most = F.col("once") >= ROOT_SHARE * F.col("of")
+    name = F.concat_ws(":", F.when(most, F.lit("root")), "pages", "vector")
     entry = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", name.alias("name"))
     both = often.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("all"))
     return both.select("host", F.transform("all", lambda x: x["token"]).alias("tokens"), F.transform("all", lambda x: x["name"]).alias("classes"))
@@ -250,45 +245,41 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def containers(pages: DataFrame, found: DataFrame) -> DataFrame:
     """host, container: the element around the slots with most words, null where
-    the template isn't valid."""
+    no template element is. Root classes that keep their order on too few pages
+    are dropped; their gaps count for the elements around them."""
     evidence = cut(_evidence(_with_templates(pages, found)))
-    valid = evidence.where("kind = 'c' and name = 'root' and good").select("host")
-    gap = evidence.where("kind = 'g' and low >= 0").groupBy("host").agg(F.max_by("low", F.struct("words", -F.col("low"))).alias("gap"), F.max("words").alias("words")).where("words > 0")
-    # classes that nest in one gap and keep their order; the others are dropped
-    nested = evidence.where("kind = 'c' and name <> 'root' and good and low = high").groupBy("host").agg(F.collect_set("name").alias("nested"))
-    chosen = found.join(valid, "host", "left_semi").join(gap, "host").join(nested, "host", "left")
+    kept = (F.col("kind") == "c") & (F.col("good") >= ROOT_SHARE * F.col("seen"))
+    facts = evidence.groupBy("host").agg(
+        F.collect_set(F.when(kept, F.col("name"))).alias("valid"),
+        F.collect_list(F.when((F.col("kind") == "g") & (F.col("words") > 0), F.struct(F.col("name").cast("int").alias("at"), "words"))).alias("gaps"),
+    )
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             out = []
-            for host, tokens, classes, k in zip(pdf["host"], pdf["tokens"], pdf["classes"], pdf["gap"], strict=True):
-                root = [t for t, c in zip(tokens, classes, strict=True) if c == "root"]
-                out.append((host, around(root, int(k))))
+            for host, tokens, classes, valid, gaps in zip(pdf["host"], pdf["tokens"], pdf["classes"], pdf["valid"], pdf["gaps"], strict=True):
+                keep = set(valid)
+                root = {t for t, c in zip(tokens, classes, strict=True) if c in keep}
+                words: Counter = Counter()
+                for g in sorted(gaps, key=lambda g: g["at"]):
+                    words[around(tokens[g["at"]], root)] += g["words"]
+                out.append((host, max(words, key=words.get) if words else None))
             yield pd.DataFrame(out, columns=["host", "container"])
 
-    return chosen.select("host", "tokens", "classes", "gap").mapInPandas(run, "host string, container string")
-
-
-def around(root: list[str], gap: int) -> str | None:
-    """The path of the template element that is open in a gap."""
-    stack: list[str] = []
-    for t in root[: gap + 1]:
-        path = t.partition("#")[0]
-        if "#" in t:
-            continue
-        if t.endswith(">"):
-            while stack and stack[-1] != path[:-1]:
-                stack.pop()
-            if stack:
-                stack.pop()
-        elif path.rpartition("/")[2].partition(".")[0] not in VOID:
-            while stack and not path.startswith(f"{stack[-1]}/"):
-                stack.pop()
-            stack.append(path)
-    # a paragraph or heading is only part of the main element
-    while stack and stack[-1].rpartition("/")[2].partition(".")[0] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "table"}:
-        stack.pop()
-    return stack[-1] if stack and stack[-1].rpartition("/")[2] not in ("html", "body") else None
+    return found.join(facts, "host").mapInPandas(run, "host string, container string")
+
+
+def around(token: str, root: set[str]) -> str | None:
+    """The path of the innermost root element that is open after a token. A
+    paragraph, heading or the like is only part of the main element; the whole
+    body is none."""
+    path = token.partition("#")[0]
+    tag = path.rpartition("/")[2].partition(".")[0]
+    if path.endswith(">") or (tag in VOID and "#" not in token):
+        path = path.rpartition("/")[0]
+    while path and (path not in root or path.rpartition("/")[2].partition(".")[0] in PARTS):
+        path = path.rpartition("/")[0]
+    return path if path.rpartition("/")[2] not in ("", "html", "body") else None
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -344,6 +344,20 @@ def test_html(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
 
 
+def neutral(k):
+    return f"""<html><body><div class="k1"><div>Menu words that no name gives away, {k}</div></div><div class="k2"><h1>Head {k}</h1><p>{prose(30, k)}</p></div>
+<div class="k3">Some advert {k}</div></body></html>"""
+
+
+@pytest.mark.parametrize("odd", [[], [None], ["", "only words"], ["<p>cut off", None], ["<html><body><div class='k1'>x</div><div class='k2'>y</div><div class='k2'>z</div></body></html>"]])
+def test_html_template_stands_odd_pages(spark, odd):
+    rows = [(k, f"http://h.org/{k}", neutral(k)) for k in range(6)] + [(100 + k, f"http://h.org/odd{k}", html) for k, html in enumerate(odd)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(6):
+        assert got[k].container == "/html/body/div.k2" and got[k].text == f"Head {k}\n\n{prose(30, k)}"
+
+
 def test_fixity(spark):
     rows = [(k, f"u{k}", "p" * (k % 50) + str(k), "clash") for k in range(1100)] + [(None, None, None, "x"), (5, "u5", "again", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
