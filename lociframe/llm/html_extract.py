@@ -7,7 +7,9 @@ Classes that are once on each of most pages, with their tokens in one order on
 most of those that have them, are valid and make up the root of the template.
 The gaps between its tokens are slots; the root element whose gaps hold most
 unlinked words over all pages of the host, outside menus and the like, is the
-main element, and a page's text is what that element holds.
+main element, and a page's text is what that element holds, less the template's
+own text: pieces that are said as often as their element occurs, in the root or
+in a class that nests in one of its gaps (as labels of repeated elements do).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import clear_names, cut
 from .url_filter import split_url
 
-#: Words of a text piece that can be a token.
+#: Words of a text piece that is its own token; a longer one's is its hash.
 TOKEN_WORDS = 8
 #: Share of a group's pages that a class is on at least, and pages of a host
 #: below which the pages of all such hosts are one group.
@@ -33,6 +35,9 @@ SUPPORT, LEAST_PAGES = 0.5, 3
 #: Share of a group's pages with elements that a root token is once on at least,
 #: and of the pages of a root class that have its tokens in order.
 ROOT_SHARE = 0.65
+#: Share of the pages with an element whose text is the same that make the text
+#: part of the template, and such pages at least (copies count as one).
+TEXT_SHARE, TEXT_PAGES = 0.9, 3
 #: Characters of all templates together that are broadcast; else they are joined.
 MAX_BROADCAST = 48_000_000
 #: Hosts of few pages that are broadcast; else they are joined.
@@ -85,8 +90,9 @@ class Page:
                 path, aside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
                 self.texts.append((len(self.tokens), path, block, links > 0, aside, piece))
                 words = piece.split()
-                if 0 < len(words) <= TOKEN_WORDS and piece.strip():
-                    self.tokens.append(f"{path}#{' '.join(words)}")
+                if words:
+                    said = " ".join(words)
+                    self.tokens.append(f"{path}#{said if len(words) <= TOKEN_WORDS else _hash(said)}")
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -120,31 +126,35 @@ class Page:
                 stack.append((tag, path, aside))
                 links = 0
 
-    def text(self, container: str | None) -> str | None:
-        """The blocks in the container, without asides that are inside it;
-        None if the page has no such element."""
+    def token(self, place: int, piece: str) -> str | None:
+        """The token of a text piece; blank ones have none."""
+        return self.tokens[place] if piece.strip() else None
+
+    def text(self, container: str | None, fixed: frozenset[str] = frozenset()) -> str | None:
+        """The blocks in the container, without asides that are inside it and
+        without fixed text tokens; None if the page has no such element."""
         if container is None or container not in self.tokens:
             return None
         inner = f"{container}/"
         blocks: dict[int, list[str]] = {}
-        for _, path, block, _, aside, piece in self.texts:
-            if not aside and (path == container or path.startswith(inner)):
+        for place, path, block, _, aside, piece in self.texts:
+            if not aside and (path == container or path.startswith(inner)) and self.token(place, piece) not in fixed:
                 blocks.setdefault(block, []).append(piece)
         said = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
         return "\n\n".join(b for b in said if b)
 
-    def plain(self) -> str:
+    def plain(self, fixed: frozenset[str] = frozenset()) -> str:
         """Without a template: the first of article, main, a role or name of
         such, or body; else everything that is no aside."""
         opened = [t for t in self.tokens if not t.endswith(">") and "#" not in t]
         last = lambda t: t.rpartition("/")[2]
         for fits in (lambda k: k.partition(".")[0] == "article", lambda k: k.partition(".")[0] == "main", lambda k: re.search(r"\.(?:content|main|post|entry|article|story|body)", k), lambda k: k == "body"):
             for t in opened:
-                if fits(last(t)) and (got := self.text(t)):
+                if fits(last(t)) and (got := self.text(t, fixed)):
                     return got
         blocks: dict[int, list[str]] = {}
-        for _, _, block, _, aside, piece in self.texts:
-            if not aside:
+        for place, _, block, _, aside, piece in self.texts:
+            if not aside and self.token(place, piece) not in fixed:
                 blocks.setdefault(block, []).append(piece)
         said = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
         return "\n\n".join(b for b in said if b)
@@ -158,12 +168,12 @@ def _hash(*parts) -> int:
 def _occurrences(pages: DataFrame) -> DataFrame:
     """host, token, pages, vector (sum of hashes of page and count), once (pages
     that have it once), place (sum of relative places); token "" counts the
-    pages that have elements."""
+    pages that have elements. A page with n copies counts 1 / n for each."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out: dict[tuple[str, str], list] = defaultdict(lambda: [0, 0, 0, 0.0])
-            for host, key, html in zip(pdf["host"], pdf["key"], pdf["html"], strict=True):
+            out: dict[tuple[str, str], list] = defaultdict(lambda: [0.0, 0, 0.0, 0.0])
+            for host, key, html, copies in zip(pdf["host"], pdf["key"], pdf["html"], pdf["copies"], strict=True):
                 tokens = Page(html).tokens
                 first: dict[str, int] = {}
                 for i, t in enumerate(tokens):
@@ -171,14 +181,16 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                 counted = [("", 1)] if any("#" not in t for t in first) else []
                 for t, n in [*Counter(tokens).items(), *counted]:
                     o = out[host, t]
-                    o[0] += 1
+                    o[0] += 1 / copies
                     o[1] += _hash(key, n)
-                    o[2] += n == 1
-                    o[3] += first.get(t, 0) / max(1, len(tokens))
+                    o[2] += (n == 1) / copies
+                    o[3] += first.get(t, 0) / max(1, len(tokens)) / copies
             yield pd.DataFrame([(h, t, *o) for (h, t), o in out.items()], columns=["host", "token", "pages", "vector", "once", "place"])
 
-    found = pages.mapInPandas(run, "host string, token string, pages long, vector long, once long, place double")
-    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("once").alias("once"), F.sum("place").alias("place"))
+    found = pages.mapInPandas(run, "host string, token string, pages double, vector long, once double, place double")
+    # sums of shares hang on their order; nine digits do not
+    sums = [F.round(F.sum(c), 9).alias(c) for c in ("pages", "once", "place")]
+    return found.groupBy("host", "token").agg(sums[0], F.sum("vector").alias("vector"), *sums[1:])
 
 
 def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -188,30 +200,28 @@ def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def _evidence(pages: DataFrame) -> DataFrame:
-    """host, kind, name, good, seen, words: for each root class (kind c) the
-    pages that have it and those on which its tokens keep their order, for each
-    gap (kind g, named by the root token before it) its unlinked words outside
+    """host, kind, name, good, seen, words: for each class (kind c) the pages
+    that have it and those on which its tokens keep their order, and lie in one
+    gap of the root unless they are of it; for each gap (kind g, named by the
+    root token before it, and a template text or -1) its unlinked words outside
     asides."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out: dict[tuple, list] = defaultdict(lambda: [0, 0, 0])
-            for host, html, tokens, classes in zip(pdf["host"], pdf["html"], pdf["tokens"], pdf["classes"], strict=True):
+            out: dict[tuple, list] = defaultdict(lambda: [0.0, 0.0, 0.0])
+            for host, html, copies, tokens, classes in zip(pdf["host"], pdf["html"], pdf["copies"], pdf["tokens"], pdf["classes"], strict=True):
                 if tokens is None or not len(tokens):
                     continue
                 page = Page(html)
-                where: dict[str, int] = {}
+                where: dict[str, list[int]] = defaultdict(list)
                 for i, t in enumerate(page.tokens):
-                    where.setdefault(t, i)
-                groups, marks = defaultdict(list), []
+                    where[t].append(i)
+                groups, marks, index = defaultdict(list), [], {}
                 for k, (t, c) in enumerate(zip(tokens, classes, strict=True)):
+                    index[t] = k
+                    groups[c].append(t)
                     if c.startswith("root") and t in where:
-                        groups[c].append(where[t])
-                        marks.append((where[t], k))
-                for name, places in groups.items():
-                    o = out[host, "c", name]
-                    o[0] += places == sorted(places)
-                    o[1] += 1
+                        marks.append((where[t][0], k))
                 # the root token before each place on the page
                 marks.sort()
                 gap, at, k = [], -1, 0
@@ -219,13 +229,25 @@ def _evidence(pages: DataFrame) -> DataFrame:
                     while k < len(marks) and marks[k][0] < i:
                         at, k = marks[k][1], k + 1
                     gap.append(at)
+                for name, own in groups.items():
+                    if name.startswith("root"):
+                        places = [where[t][0] for t in own if t in where]
+                        good = places == sorted(places)
+                    else:
+                        seen = sorted((i, j) for j, t in enumerate(own) for i in where.get(t, ()))
+                        places = [i for i, _ in seen]
+                        good = all(j == i % len(own) for i, (_, j) in enumerate(seen)) and len({gap[i] for i in places}) == 1
+                    if places:
+                        o = out[host, "c", name]
+                        o[0] += good / copies
+                        o[1] += 1 / copies
                 for place, _, _, linked, aside, piece in page.texts:
                     if not linked and not aside and gap[place] >= 0:
-                        out[host, "g", str(gap[place])][2] += len(piece.split())
+                        out[host, "g", f"{gap[place]}:{index.get(page.token(place, piece), -1)}"][2] += len(piece.split()) / copies
             yield pd.DataFrame([(*key, *o) for key, o in out.items()], columns=["host", "kind", "name", "good", "seen", "words"])
 
-    found = pages.mapInPandas(run, "host string, kind string, name string, good long, seen long, words long")
-    return found.groupBy("host", "kind", "name").agg(*[F.sum(c).alias(c) for c in ("good", "seen", "words")])
+    found = pages.mapInPandas(run, "host string, kind string, name string, good double, seen double, words double")
+    return found.groupBy("host", "kind", "name").agg(*[F.round(F.sum(c), 9).alias(c) for c in ("good", "seen", "words")])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -235,23 +257,61 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = cut(_occurrences(pages))
     total = seen.where("token = ''").select("host", F.col("pages").alias("of"))
     often = seen.where("token <> ''").join(total, "host").where((F.col("pages") >= SUPPORT * F.col("of")) & (F.col("pages") >= 2))
-    # a class that is once on each of most pages is part of the root
-    most = F.col("once") >= ROOT_SHARE * F.col("of")
-    name = F.concat_ws(":", F.when(most, F.lit("root")), "pages", "vector")
-    entry = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", name.alias("name"))
-    both = often.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    return both.select("host", F.transform("all", lambda x: x["token"]).alias("tokens"), F.transform("all", lambda x: x["name"]).alias("classes"))
+    entry = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "pages", "vector", "once")
+    both = often.groupBy("host").agg(F.first("of").alias("of"), F.sort_array(F.collect_list(entry)).alias("all"))
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            out = []
+            for host, of, every in zip(pdf["host"], pdf["of"], pdf["all"], strict=True):
+                named = classed([(e["token"], e["pages"], e["vector"], e["once"]) for e in every], of)
+                out.append((host, [t for t, _ in named], [c for _, c in named]))
+            yield pd.DataFrame(out, columns=["host", "tokens", "classes"])
+
+    return both.mapInPandas(run, "host string, tokens array<string>, classes array<string>")
+
+
+def classed(rows: list[tuple[str, float, int, float]], of: float) -> list[tuple[str, str]]:
+    """(token, class) of the frequent tokens (token, pages, vector, once).
+
+    An element that is once on each of most pages, inside one such, is of the
+    root; others can nest in it. A text is of the template if its element, as
+    often as it occurs, has it: else it only happens to be on many pages.
+    """
+    facts = {t: (pages, vector, once) for t, pages, vector, once in rows}
+    root: set[str] = set()
+    for t in sorted(facts, key=len):  # an element before what is in it
+        up = t.rpartition("/")[0]
+        if "#" not in t and not t.endswith(">") and facts[t][2] >= ROOT_SHARE * of and (not up or up in root):
+            root.add(t)
+    out = []
+    for t, pages, vector, once in rows:
+        element, is_text, _ = t.partition("#")
+        if is_text:
+            near = facts.get(element)
+            if near is None or pages < TEXT_PAGES:
+                continue
+            if element in root:
+                if once < ROOT_SHARE * of or pages < TEXT_SHARE * near[0]:
+                    continue
+            elif vector != near[1]:
+                continue
+        of_root = t in root or (is_text and element in root) or (t.endswith(">") and t[:-1] in root and once >= ROOT_SHARE * of)
+        out.append((t, f"{'root:' if of_root else ''}{vector}"))
+    return out
 
 
 def containers(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host, container: the element around the slots with most words, null where
-    no template element is. Root classes that keep their order on too few pages
-    are dropped; their gaps count for the elements around them."""
+    """host, container, fixed: the element around the slots with most words,
+    null where no template element is, and the texts of the template. Classes
+    that keep their order, or nest, on too few pages are dropped; their gaps
+    count for the elements around them."""
     evidence = cut(_evidence(_with_templates(pages, found)))
     kept = (F.col("kind") == "c") & (F.col("good") >= ROOT_SHARE * F.col("seen"))
+    place = F.split("name", ":")
     facts = evidence.groupBy("host").agg(
         F.collect_set(F.when(kept, F.col("name"))).alias("valid"),
-        F.collect_list(F.when((F.col("kind") == "g") & (F.col("words") > 0), F.struct(F.col("name").cast("int").alias("at"), "words"))).alias("gaps"),
+        F.collect_list(F.when((F.col("kind") == "g") & (F.col("words") > 0), F.struct(place[0].cast("int").alias("at"), place[1].cast("int").alias("text"), "words"))).alias("gaps"),
     )
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,14 +319,16 @@ def containers(pages: DataFrame, found: DataFrame) -> DataFrame:
             out = []
             for host, tokens, classes, valid, gaps in zip(pdf["host"], pdf["tokens"], pdf["classes"], pdf["valid"], pdf["gaps"], strict=True):
                 keep = set(valid)
-                root = {t for t, c in zip(tokens, classes, strict=True) if c in keep}
+                template = [(t, c) for t, c in zip(tokens, classes, strict=True) if c in keep]
+                root, fixed = {t for t, c in template if c.startswith("root")}, {t for t, _ in template if "#" in t}
                 words: Counter = Counter()
-                for g in sorted(gaps, key=lambda g: g["at"]):
-                    words[around(tokens[g["at"]], root)] += g["words"]
-                out.append((host, max(words, key=words.get) if words else None))
-            yield pd.DataFrame(out, columns=["host", "container"])
+                for g in sorted(gaps, key=lambda g: (g["at"], g["text"])):
+                    if g["text"] < 0 or tokens[g["text"]] not in fixed:
+                        words[around(tokens[g["at"]], root)] += g["words"]
+                out.append((host, max(words, key=words.get) if words else None, sorted(fixed)))
+            yield pd.DataFrame(out, columns=["host", "container", "fixed"])
 
-    return found.join(facts, "host").mapInPandas(run, "host string, container string")
+    return found.join(facts, "host").mapInPandas(run, "host string, container string, fixed array<string>")
 
 
 def around(token: str, root: set[str]) -> str | None:
@@ -288,7 +350,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html gives an empty text. Null urls and urls without a host
     are one group, as are hosts of fewer than LEAST_PAGES pages. Where a group
     has no valid template, or a page not its main element, the page's own
-    article, main or body element is taken. Repeated pages are extracted each;
+    article, main or body element is taken. Texts of the template are left out
+    wherever they are. Repeated pages are extracted each, but count as one;
     an empty table gives no rows; input columns of these names are replaced.
     """
     names = [c for c in ("host", "key", "html", "container", "text", "n_chars", "tokens", "classes") if c not in (id_col, url_col, html_col)]
@@ -297,18 +360,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sizes = base.groupBy("__host").agg(F.count("*").alias("n"))
     few = cut(sizes.where(F.col("n") < LEAST_PAGES).select("__host", F.lit("").alias("__group")))
     keyed = base.join(F.broadcast(few) if few.count() <= MAX_HOSTS else few, "__host", "left").withColumn("__group", F.coalesce("__group", "__host"))
-    narrow = keyed.select(F.col("__group").alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.col("__html").alias("html"))
-    found = cut(templates(narrow))
-    where = cut(containers(narrow.select("host", "html"), found))
+    narrow = keyed.select(F.col("__group").alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.col("__html").alias("html"), F.xxhash64("__html").alias("print"))
+    copied = cut(narrow.groupBy("host", "print").agg(F.count("*").alias("copies")).where(F.col("copies") > 1))
+    narrow = narrow.join(F.broadcast(copied) if copied.count() <= MAX_HOSTS else copied, ["host", "print"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    found = cut(templates(narrow.select("host", "key", "html", "copies")))
+    where = cut(containers(narrow.select("host", "html", "copies"), found).withColumnRenamed("fixed", "__fixed"))
 
     @F.pandas_udf("string")
-    def main_text(htmls: pd.Series, elements: pd.Series) -> pd.Series:
+    def main_text(htmls: pd.Series, elements: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
-        for html, element in zip(htmls, elements, strict=True):
-            page = Page(html)
-            out.append(page.text(element) or page.plain())
+        for html, element, said in zip(htmls, elements, texts, strict=True):
+            page, fixed = Page(html), frozenset(() if said is None else said)
+            out.append(page.text(element, fixed) or page.plain(fixed))
         return pd.Series(out, dtype=object)
 
     out = _with_templates(keyed.withColumnRenamed("__group", "host"), where)
-    out = out.withColumn("text", main_text("__html", "container")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.drop("__host", "__html")
+    out = out.withColumn("text", main_text("__html", "container", "__fixed")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.drop("__host", "__html", "__fixed")

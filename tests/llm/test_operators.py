@@ -358,6 +358,21 @@ def test_html_template_stands_odd_pages(spark, odd):
         assert got[k].container == "/html/body/div.k2" and got[k].text == f"Head {k}\n\n{prose(30, k)}"
 
 
+def test_html_leaves_out_the_text_of_the_template(spark):
+    def boxed(k):
+        items = "".join(f"<div class='c2'><div class='c3'>Answer to this one</div><p>{prose(3, 50 * k + i)}</p></div>" for i in range(k % 3 + 1))
+        notice = "This long notice is on every page of the host and has more than eight words"
+        return neutral(k).replace("<h1>", f"<div class='c0'>{notice}</div><h1>").replace("</p></div>", f"</p><div class='c1'>Send this to others</div>{items}</div>")
+
+    rows = [(k, f"http://h.org/{k}", boxed(k)) for k in range(8)]
+    # copies of one page are no template
+    rows += [(100 + k, f"http://copies.org/{k}", boxed(1)) for k in range(30)] + [(200 + k, f"http://copies.org/x{k}", boxed(k)) for k in range(2, 4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k].split("\n\n") == [f"Head {k}", prose(30, k), *[prose(3, 50 * k + i) for i in range(k % 3 + 1)]]
+    assert all(f"Head 1\n\n{prose(30, 1)}" in got[100 + k] for k in range(30))
+
+
 def test_fixity(spark):
     rows = [(k, f"u{k}", "p" * (k % 50) + str(k), "clash") for k in range(1100)] + [(None, None, None, "x"), (5, "u5", "again", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
