@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, clear_names, mix64, words_of
+from .common import WordHashes, clear_names, cut, mix64, words_of
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 4, 16
@@ -231,29 +231,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_c
     Words are lower-cased and lose punctuation at their ends. Null or empty
     texts on either side match nothing; repeated documents match each; an empty
     benchmark or table gives no rows; a null id stays null. Items are a stated
-    query set: they are broadcast ITEM_BLOCK at a time, by ascending id, and
-    each block scans all documents. Other columns are ignored.
+    query set: they are broadcast ITEM_BLOCK at a time, by ascending id and text
+    (an id may be in several blocks), and each block scans all documents. Rows
+    with equal id and text are one item. Other columns are ignored.
     """
     spark = docs.sparkSession
     clean = clear_names(docs, *[c for c in ("id",) if c not in (id_col, text_col)])
     narrow = clean.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     asked = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text <> ''")
+    asked = cut(asked.distinct())
     schema = "doc_id long, item_id long, start int, n_words int, similarity double"
-    out, last = None, None
+    out, block = None, asked
     while True:
-        # a bounded block of the query set
-        block = asked if last is None else asked.where(F.col("id") > last)
-        rows = sorted(block.orderBy("id", "text").limit(ITEM_BLOCK).collect(), key=lambda r: (r.id is not None, r.id, r.text))
-        if rows and len(rows) == ITEM_BLOCK and rows[0].id != rows[-1].id:
-            rows = [r for r in rows if r.id != rows[-1].id]  # ids are not split between blocks
+        # a bounded block of the query set; null ids come first
+        rows = block.orderBy(F.col("id").asc_nulls_first(), "text").limit(ITEM_BLOCK).collect()
         if not rows:
             break
-        last = rows[-1].id
         shared = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows]))
         found = narrow.mapInPandas(_searcher(shared, similarity), schema)
         out = found if out is None else out.unionByName(found)
-        if len(rows) < ITEM_BLOCK // 2 or last is None:
+        if len(rows) < ITEM_BLOCK:
             break
+        last, same = rows[-1], F.col("id").eqNullSafe(F.lit(rows[-1].id).cast("long")) & (F.col("text") > F.lit(rows[-1].text))
+        block = asked.where(same | (F.col("id").isNotNull() if last.id is None else F.col("id") > last.id))
     return out if out is not None else spark.createDataFrame([], schema)
 
 

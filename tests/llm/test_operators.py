@@ -243,6 +243,16 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_searches_all_item_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 4)
+    # more null ids than a block holds, then one id that fills more than a block
+    ids = [None] * 5 + [1, 1] + [2] * 9 + [3, 4, 5]
+    items = [(d, prose(20, 3000 + k)) for k, d in enumerate(ids)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    got = decontaminate.matches(df, spark.createDataFrame([*items, items[5]], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in got) == [(k, -1 if d is None else d) for k, d in enumerate(ids)]
+
+
 def test_hamming_lookup_misses_none():
     rng = np.random.default_rng(9)
     prints = rng.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)
