@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 Inputs of a word are an embedding of the word and the mean embedding of its
-character four-grams (of UTF-8 bytes, with the word's ends marked). A gated
+character four-grams (of UTF-8 bytes, with the word's ends marked). Words of
+over WORD_BYTES bytes, as in text without spaces, are inputs piece by piece. A gated
 recurrent network reads a window of WINDOW words in both directions, attention
 pools its states and a linear unit scores the pool. Windows overlap by
 WINDOW - STRIDE words and cover the whole text; a document scores as its
@@ -10,6 +11,7 @@ highest window. Everything is numpy, training included.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import clear_names, words_of
-from .decontaminate import normal
+from .decontaminate import PUNCTUATION, normal
 
 WINDOW, STRIDE = 48, 32
 #: Word and four-gram rows, embedding size, states per direction.
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 13, 1 << 14, 16, 8
-#: Bytes of a word that its four-grams cover.
-WORD_BYTES = 16
+#: Bytes of an input at most, and by how much the pieces of a longer part of a
+#: word are apart.
+WORD_BYTES, PIECE_STEP = 16, 8
 #: Labelled documents a model is fitted on at most, by label, and the code
 #: points of the longest one among them.
 SAMPLE, SAMPLE_CHARS = {1: 1200, 0: 2400}, 20_000
@@ -32,12 +35,35 @@ EPOCHS, RANDOM_EPOCHS, BATCH, RATE = 18, 8, 64, 0.01
 #: First spread of four-gram rows, the share of word and of four-gram rows that
 #: a training step leaves out, and the pull of rows towards zero.
 GRAM_SCALE, DROP_WORDS, DROP_GRAMS, DECAY = 0.1, 0.5, 0.2, 1e-3
+#: Where a long word is parted.
+BREAKS = re.compile(b"[" + re.escape(PUNCTUATION) + b"]+")
 #: Rows of a worker's table of word inputs.
 CACHE = 250_000
 #: Windows that are read at once.
 AT_ONCE = 4096
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word of over WORD_BYTES bytes parted at its punctuation, and longer
+    parts in overlapping pieces, so that no byte is left out."""
+    word = normal(word)
+    if len(word) <= WORD_BYTES:
+        return [word]
+    out = []
+    for part in [x for x in BREAKS.split(word) if x] or [word]:
+        last = max(0, len(part) - WORD_BYTES)
+        out += [part[i : i + WORD_BYTES] for i in [*range(0, last, PIECE_STEP), last]]
+    return out
+
+
+def inputs_of(text: str | None) -> list[bytes]:
+    """The words of a text, long ones in pieces."""
+    words = words_of(text)
+    if words and max(map(len, words)) > WORD_BYTES:
+        return [x for w in words for x in (pieces(w) if len(w) > WORD_BYTES else (w,))]
+    return words
+
+
 def word_rows(words: list[bytes]) -> np.ndarray:
     """The embedding row of each word."""
     import xxhash
@@ -46,7 +72,8 @@ def word_rows(words: list[bytes]) -> np.ndarray:
 
 
 def gram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of each word's four-grams, and which of them exist."""
+    """Rows of the four-grams of each word of at most WORD_BYTES bytes, and
+    which of them exist."""
     wide = WORD_BYTES + 2
     raw = b"".join([(b"\x02" + w[:WORD_BYTES] + b"\x03").ljust(wide, b"\0") for w in words])
     m = np.frombuffer(raw, dtype=np.uint8).reshape(len(words), wide).astype(np.uint32)
@@ -180,7 +207,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
     """
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(normal, words_of(t))], dtype=np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(normal, inputs_of(t))], dtype=np.int64) for t in texts]
     kept = [(d, float(y)) for d, y in zip(docs, labels, strict=True) if len(d)]
     if not kept or len({y for _, y in kept}) < 2:
         share = np.clip(np.mean(labels) if labels else 0.5, 0.01, 0.99)
@@ -301,7 +328,7 @@ class Scorer:
             waiting = 0
 
         for k, text in enumerate(texts):
-            words = words_of(text)
+            words = inputs_of(text)
             # a very long text is read in pieces that the windows overlap
             for at in range(0, len(words), STRIDE * 512):
                 piece = words[at : at + STRIDE * 512 + WINDOW]

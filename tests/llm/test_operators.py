@@ -289,6 +289,24 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score(docs, toxicity.train(df, y.limit(0))).count() == len(TEXTS)
 
 
+def test_toxicity_reads_long_words_whole():
+    for word in (b"short", b"x" * 16, b"ab" * 50, ("\u6bd2\u8349" * 30).encode(), b"one/two_three-four.five/nastyword", b"=" * 40):
+        got = toxicity.pieces(word)
+        assert max(map(len, got)) <= toxicity.WORD_BYTES
+        assert all(any(g in x for x in got) for part in toxicity.BREAKS.split(word) for g in (part[i : i + 4] for i in range(max(0, len(part) - 3))))
+    rng, texts, labels = random.Random(4), [], []
+    for k in range(400):
+        words = prose(rng.randint(5, 60), k).split()
+        if k % 4 == 0:
+            words[rng.randrange(len(words))] = "nastyword"
+        texts.append(" ".join(words))
+        labels.append(int(k % 4 == 0))
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    clean = [prose(12, 9000 + k) for k in range(20)]
+    bad = scorer.scores(["_".join(t.split()) + "_nastyword" for t in clean])
+    assert np.mean(bad >= 0.5) > 0.9 and np.mean(scorer.scores([t.replace(" ", "_") for t in clean]) >= 0.5) < 0.1
+
+
 def test_gradients():
     net = toxicity.Network(1)
     rng = np.random.default_rng(1)
