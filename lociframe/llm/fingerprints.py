@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import clear_names, cut, shuffle_parts
 
-SAMPLES = 24
+SAMPLES = 32
 #: Samples that one exploded row of a term carries.
 LANES = 4
 SEED = 77

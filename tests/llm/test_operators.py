@@ -226,6 +226,12 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert abs(np.mean(gaps)) < 0.05 and np.std(gaps) < 0.15
 
 
+def test_fingerprints_have_32_samples(docs):
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    assert {len(r.fingerprint) for d, r in got.items() if d in (0, 5, 10)} == {32 * 8}
+    assert all((r.near_edited * 32).is_integer() and (r.near_next * 32).is_integer() for r in got.values())
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(k, prose(n, 500 + k)) for k, n in enumerate((4, 9, 15, 30, 59, 200))] + [(6, None), (7, ""), (None, "null id item of some words here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
