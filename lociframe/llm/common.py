@@ -29,12 +29,14 @@ def vocabulary() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the cluster names none (tests), a temporary folder becomes the
-    checkpoint folder of the session.
+    Where a local session names none (tests), a temporary folder becomes its
+    checkpoint folder; a cluster's executors would not share one.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         have = spark.sparkContext.getCheckpointDir()
+        if not have and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = have or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         if not have:
             spark.sparkContext.setCheckpointDir(base)
@@ -56,6 +58,14 @@ def clear_names(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out in have:
+        out += "_"
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) over an unsigned array."""
     x = x.astype(np.uint64, copy=True)

@@ -4,8 +4,8 @@ Every window of a document whose size fits a benchmark item gets a 64-bit
 SimHash of its words. Fingerprints are cut into BLOCKS blocks of 16 bits; two
 within RADIUS differ by at most FLIPS bits in some block, so looking up each
 block's value among the items' block values and their FLIPS-bit neighbours
-misses none within RADIUS. Candidates are verified by the weighted similarity
-of exact shingles.
+misses none within RADIUS. Candidates are verified by the similarity of exact
+shingles, plain or weighted.
 
 Window sizes: an item of L words is looked for by the largest size on a ladder
 (ratio LADDER) of at most L - 2 words (the item's own size below MIN_LADDER),
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, clear_names, cut, mix64, words_of
+from .common import WordHashes, cut, fresh, mix64, words_of
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 4, 16
@@ -54,14 +54,15 @@ def sizes(limit: int) -> list[int]:
 
 def simhashes(words: np.ndarray, size: int, ones: np.ndarray) -> np.ndarray:
     """SimHash of every window of `size` words; ones: running counts of set
-    bits, one row more than words, 16-bit (their differences can't overflow)."""
+    bits, one row more than words."""
     got = (ones[size:] - ones[:-size]) > size // 2
     return np.packbits(got, axis=1).view("<u8").reshape(-1)
 
 
-def running_ones(words: np.ndarray) -> np.ndarray:
-    """Per-bit running counts over a row of word hashes."""
-    out = np.zeros((len(words) + 1, 64), dtype=np.int16)
+def running_ones(words: np.ndarray, longest: int) -> np.ndarray:
+    """Per-bit running counts over a row of word hashes. They may wrap around;
+    differences over at most `longest` words don't."""
+    out = np.zeros((len(words) + 1, 64), dtype=np.int16 if longest < 1 << 15 else np.int32)
     out[1:] = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
     return np.cumsum(out, axis=0, out=out)
 
@@ -77,20 +78,22 @@ def shingle_counts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The benchmark's fingerprints, block tables, shingles and weights.
+    """A block of the benchmark: fingerprints, block tables, shingles, weights.
 
-    A shingle's weight is 1 / (the number of items that hold it): what many
-    items share says less. It is 1 for shingles of no item.
+    A shingle's weight is 1 / (the number of unlike texts of the whole benchmark
+    that hold it): what many items share says less, and an item that is listed
+    twice weighs as one. It is 1 for shingles of no item. held: those numbers
+    where they are over 1, by shingle.
     """
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], held: dict[int, int]):
         hashes = WordHashes(normal)
         self.ids = ids
         self.words = [hashes(words_of(t)) for t in texts]
         self.shingles = [shingle_counts(w) for w in self.words]
         every = np.concatenate([s for s, _ in self.shingles]) if ids else np.zeros(0, dtype=np.uint64)
-        self.known, held = np.unique(every, return_counts=True)
-        self.weight = 1.0 / held if len(held) else np.zeros(0)
+        self.known = np.unique(every)
+        self.weight = np.array([1.0 / held.get(x, 1) for x in self.known.tolist()])
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
         self.table = np.zeros(TABLE, dtype=bool)
         self.table[(self.known & np.uint64(TABLE - 1)).astype(np.int64)] = True
@@ -101,7 +104,7 @@ class Items:
                 continue
             n = len(w)
             size = n if n < MIN_LADDER else int(ladder[ladder <= n - 2][-1])
-            ones = running_ones(w)
+            ones = running_ones(w, n)
             prints = simhashes(w, size, ones)
             by_size.setdefault(size, []).append((k, 0, prints[0]))
             if n > size:
@@ -147,14 +150,16 @@ class Items:
         return np.where(self.known[at] == shingles, self.weight[at], 1.0)
 
     def similarity(self, item: int, words: np.ndarray) -> float:
-        """Weighted Jaccard: sum of weight * least count over that of the
-        greatest count, over the shingles of the item and the window."""
+        """The greater of the plain and the weighted Jaccard similarity: sum of
+        weight * least count over that of the greatest count, over the shingles
+        of the item and the window."""
         (s, c), (t, d) = self.shingles[item], shingle_counts(words)
         both, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+        shared = np.minimum(c[i], d[j])
         ws, wt = self.weights(s), self.weights(t)
-        low = float((self.weights(both) * np.minimum(c[i], d[j])).sum())
-        high = float((ws * c).sum() + (wt * d).sum()) - low
-        return low / high if high else 0.0
+        low = float((self.weights(both) * shared).sum())
+        high, plain = float((ws * c).sum() + (wt * d).sum()) - low, int(c.sum() + d.sum() - shared.sum())
+        return max(low / high, int(shared.sum()) / plain) if plain else 0.0
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, similarity: float):
         """(document, item, window start, window end) of windows within RADIUS
@@ -163,7 +168,7 @@ class Items:
         words: hashes of several documents in a row; starts: where each one
         begins, and the end. A document shorter than a size is one window.
         """
-        ones, n = running_ones(words), len(words)
+        ones, n = running_ones(words, max(self.classes, default=0)), len(words)
         lengths = np.diff(starts)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         left = starts[1:][owner] - np.arange(n)  # words up to the document's end
@@ -224,6 +229,28 @@ def _batches(texts: list, hashes: WordHashes):
 _WORDS: list[WordHashes] = []
 
 
+def _worker_words() -> WordHashes:
+    if not _WORDS:
+        _WORDS.append(WordHashes(normal))
+    return _WORDS[0]
+
+
+def _shingles(items: DataFrame) -> DataFrame:
+    """print (a hash of an item's words) and shingle, for each distinct one."""
+    import xxhash
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for text in pdf["text"]:
+                words = _worker_words()(words_of(text))
+                own = shingle_counts(words)[0].view(np.int64)
+                rows.append(pd.DataFrame({"print": np.full(len(own), xxhash.xxh3_64_intdigest(words.tobytes()) >> 1, dtype=np.int64), "shingle": own}))
+            yield pd.concat(rows) if rows else pd.DataFrame({"print": np.zeros(0, dtype=np.int64), "shingle": np.zeros(0, dtype=np.int64)})
+
+    return items.select("text").mapInPandas(run, "print long, shingle long").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item it holds: id, item_id, start (word),
     n_words and similarity of the best window (first of the best ones).
@@ -233,13 +260,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_c
     benchmark or table gives no rows; a null id stays null. Items are a stated
     query set: they are broadcast ITEM_BLOCK at a time, by ascending id and text
     (an id may be in several blocks), and each block scans all documents. Rows
-    with equal id and text are one item. Other columns are ignored.
+    with equal id and text are one item. Weights hang on the whole benchmark and
+    not on blocks or repeated items. Other columns are ignored.
     """
     spark = docs.sparkSession
-    clean = clear_names(docs, *[c for c in ("id",) if c not in (id_col, text_col)])
-    narrow = clean.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     asked = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text <> ''")
     asked = cut(asked.distinct())
+    # shingles that several unlike items hold
+    shared_by = cut(_shingles(asked).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"))
     schema = "doc_id long, item_id long, start int, n_words int, similarity double"
     out, block = None, asked
     while True:
@@ -247,7 +276,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_c
         rows = block.orderBy(F.col("id").asc_nulls_first(), "text").limit(ITEM_BLOCK).collect()
         if not rows:
             break
-        shared = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows]))
+        if len(rows) < ITEM_BLOCK and out is None:
+            held = shared_by  # all items are in this block
+        else:
+            held = shared_by.join(_shingles(spark.createDataFrame([(r.text,) for r in rows], "text string")), "shingle", "left_semi")
+        counts = {r.shingle % (1 << 64): r.held for r in held.collect()}  # at most the block's shingles
+        shared = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows], counts))
         found = narrow.mapInPandas(_searcher(shared, similarity), schema)
         out = found if out is None else out.unionByName(found)
         if len(rows) < ITEM_BLOCK:
@@ -259,12 +293,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_c
 
 def _searcher(shared, similarity: float):
     def search(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not _WORDS:
-            _WORDS.append(WordHashes(normal))
-        items = shared.value
+        hashes, items = _worker_words(), shared.value
         for pdf in pdfs:
             texts, ids, out = pdf["text"].tolist(), pdf["id"].astype("Int64").tolist(), []
-            for some, docs in _batches(texts, _WORDS[0]):
+            for some, docs in _batches(texts, hashes):
                 words, best = np.concatenate(some), {}
                 starts = np.concatenate([[0], np.cumsum([len(w) for w in some])])
                 for d, item, at, end in items.candidates(words, starts, similarity).tolist():
@@ -280,7 +312,7 @@ def _searcher(shared, similarity: float):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns. Rows without an
     id are searched too, and leave by their text's hash."""
-    key = F.coalesce(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(0))
-    keyed = docs.withColumn("__key", key)
-    hit = matches(keyed, benchmark, similarity, "__key", text_col).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(hit, "__key", "left_anti").select(*docs.columns)
+    name = fresh(docs, "key")
+    keyed = docs.withColumn(name, F.coalesce(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(0)))
+    hit = matches(keyed, benchmark, similarity, name, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(hit, name, "left_anti").select(*docs.columns)

@@ -321,6 +321,64 @@ def test_decontamination_searches_all_item_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in got) == [(k, -1 if d is None else d) for k, d in enumerate(ids)]
 
 
+def test_decontamination_weights_hang_on_no_block_and_no_repeat(spark, monkeypatch):
+    item = prose(60, 4001)
+    words = item.split()
+    words[30] = "changed"
+    docs = spark.createDataFrame([(1, prose(80, 1) + " " + " ".join(words) + " " + prose(50, 2)), (2, prose(200, 3))], "doc_id long, text string")
+    seen = set()
+    for times in (1, 2, 5, 20):
+        for block in (3, 20_000):
+            monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+            # repeats under one id and under others, with other punctuation, and items that share a passage
+            items = [(k % 3, item if k % 2 else item.replace(" ", ", ")) for k in range(times)] + [(50 + k, " ".join(item.split()[:25]) + " " + prose(30, 60 + k)) for k in range(4)]
+            found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+            assert {r.doc_id for r in found} == {1} and {r.item_id for r in found} == {i for i, _ in items if i < 50}
+            seen |= {round(r.similarity, 9) for r in found}
+    assert len(seen) == 1
+
+
+def test_decontamination_against_all_windows(spark):
+    """Every window of an item's length, by brute force: none of similarity 0.8
+    or more may be missed."""
+    rng = random.Random(11)
+    items = [(k, prose(rng.choice([6, 8, 12, 20, 33, 52, 80, 130, 250]), 7000 + k)) for k in range(60)]
+    rows = []
+    for d in range(240):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, max(1, len(words) // 18))):
+            words[rng.randrange(len(words))] = f"w{rng.randint(0, 9999)}"
+        if d % 5 == 0:
+            del words[rng.randrange(len(words))]
+        rows.append((d, f"{prose(rng.randint(0, 60), d)} {' '.join(words)} {prose(rng.randint(0, 60), 999 + d)}"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def counted(words):
+        return pd.Series([tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]).value_counts().to_dict()
+
+    want = set()
+    for i, t in items:
+        own, n = counted(t.lower().split()), len(t.split())
+        for d, text in rows:
+            words = text.lower().split()
+            if not set(own) & set(counted(words)):
+                continue
+            for at in range(max(1, len(words) - n + 1)):
+                other = counted(words[at : at + n])
+                low = sum(min(own.get(x, 0), c) for x, c in other.items())
+                if low >= 0.8 * (sum(own.values()) + sum(other.values()) - low):
+                    want.add((d, i))
+                    break
+    assert len(want) > 90 and got == want
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    item = prose(30, 5)
+    df = spark.createDataFrame([(1, item, "a"), (None, "clean " * 9, "b"), (None, item, "c")], "doc_id long, text string, __key string")
+    left = decontaminate.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(None, "clean " * 9, "b")]
+
+
 def test_hamming_lookup_misses_none():
     rng = np.random.default_rng(9)
     prints = rng.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)
