@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, clear_names, components, cut, mix64, shingle_hashes, words_of
+from .common import WordHashes, components, cut, fresh, mix64, shingle_hashes, words_of
 
 SHINGLE = 5
 #: Bands and registers of a band; estimates use all REGISTERS.
@@ -128,20 +128,27 @@ def likely(estimates: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), set1 and set2 (a 128-bit hash of the set), codes."""
+    """id, print (of the text), n (set size), set1 and set2 (a 128-bit hash of
+    the set), codes."""
     import xxhash
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             out = []
-            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+            for doc, text, print_ in zip(pdf["id"], pdf["text"], pdf["print"], strict=True):
                 s = shingle_set(text)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((doc, len(s), h >> 65, h & (2**63 - 1), sketch(s).tobytes() if len(s) else b""))
-            yield pd.DataFrame(out, columns=["id", "n", "set1", "set2", "codes"])
+                out.append((doc, print_, len(s), h >> 65, h & (2**63 - 1), sketch(s).tobytes() if len(s) else b""))
+            yield pd.DataFrame(out, columns=["id", "print", "n", "set1", "set2", "codes"])
 
+    return printed(docs, id_col, text_col).mapInPandas(run, "id long, print long, n long, set1 long, set2 long, codes binary")
+
+
+def printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and print (a hash of the text, which tells rows of one id from
+    each other) of the rows with an id."""
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInPandas(run, "id long, n long, set1 long, set2 long, codes binary")
+    return narrow.withColumn("print", F.xxhash64("text"))
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -226,15 +233,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE
     return both.mapInPandas(run, "a long, b long")
 
 
-def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row with an id.
+def _classes(rows: DataFrame) -> DataFrame:
+    """key, n, set1, set2, codes, rep and print (the first row) of each distinct
+    set that isn't empty. Keys are dense numbers: ids may be shared."""
+    found = rows.where("n > 0").groupBy("n", "set1", "set2").agg(F.min(F.struct("id", "print")).alias("r"), F.first("codes").alias("codes"))
+    return cut(found.select(F.monotonically_increasing_id().alias("key"), "n", "set1", "set2", "codes", F.col("r.id").alias("rep"), F.col("r.print").alias("print")))
 
-    Links: 100 * intersection >= percent * union of shingle sets. A text of
-    fewer than five words is one shingle; one without words links with none.
-    Equal sets are one class and stand as their smallest id; no pair is made
-    within a class. Rows that share an id are one document if their sets are
-    equal, and linked otherwise (they have the same id). Rows without an id are
-    left out here; near_duplicates() returns them.
+
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    spread = rows.where("n > 0").groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("set1", "set2") for f in (F.min, F.max)])
+    shared = spread.where("min_set1 <> max_set1 or min_set2 <> max_set2").select("id")
+    own = rows.join(shared, "id", "left_semi").select("id", "n", "set1", "set2").distinct().join(classes.select("key", "n", "set1", "set2"), ["n", "set1", "set2"])
+    least = own.groupBy("id").agg(F.min("key").alias("a"))
+    return own.join(least, "id").where("a < key").select("a", F.col("key").alias("b"))
+
+
+def _linked(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, by_id: bool) -> DataFrame:
+    """classes (without codes) and component_key of each class.
 
     Candidates: each bucket first pairs its smallest member with the others.
     Where a bucket of up to WHOLE members still holds several components, all
@@ -245,23 +261,23 @@ def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     candidate is capped, and every step is an aggregation, a join or a narrow
     map.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    all_rows = cut(sketches(docs, id_col, text_col))
-    filled = all_rows.where("n > 0")
-    classes = filled.groupBy("n", "set1", "set2").agg(F.min("id").alias("rep"), F.first("codes").alias("codes"))
-    reps = cut(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max_by("codes", "n").alias("codes")))
+    reps = classes.select(F.col("key").alias("id"), "n", "codes")
     bands = _bands(reps)
     buckets = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(buckets, "key").select("key", "id", "lead"))
-    rep_texts = texts.join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.max_by("text", F.length("text")).alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Tries candidate pairs (a, b)."""
         likely = cut(_estimated(pairs, reps, percent))
-        ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        return cut(_verified(likely, texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), percent))
+        ids = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
+        # the text of each class's first row
+        first = classes.join(ids, "key", "left_semi").select("key", F.col("rep").alias("id"), "print")
+        own = texts.join(first, ["id", "print"]).select(F.col("key").alias("id"), "text").dropDuplicates(["id"])
+        return cut(_verified(likely, own, percent))
 
     links = confirm(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    if by_id:
+        links = cut(links.unionByName(_same_id(rows, classes)))
     comp = cut(components(links))
     # the members that have not yet been paired with all others of their bucket
     rest, turn = members.where("id <> lead").join(reps.select("id", "n"), "id").select("key", "id", "n"), 0
@@ -281,10 +297,43 @@ def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         comp = cut(components(links))
         done = F.pmod(F.xxhash64("id", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))
         rest, turn = rest.where((F.col("k") > WHOLE) & ~done).select("key", "id", "n"), turn + 1
-    # a row -> its class -> the class's component
-    member = all_rows.join(classes.select("n", "set1", "set2", "rep"), ["n", "set1", "set2"], "left")
-    out = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    out = classes.drop("codes").join(comp.withColumnRenamed("id", "key"), "key", "left")
+    return out.withColumn("component_key", F.coalesce("component", "key")).drop("component")
+
+
+def groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of every row with an id.
+
+    Links: 100 * intersection >= percent * union of shingle sets. A text of
+    fewer than five words is one shingle; one without words links with none.
+    Equal sets are one class and stand as their first row; no pair is made
+    within a class. Rows that share an id are linked, whatever their texts are
+    like: every one of them keeps its own links. Rows without an id are left
+    out here; near_duplicates() returns them.
+    """
+    rows = cut(sketches(docs, id_col, text_col))
+    classes = _classes(rows)
+    linked = _linked(rows, classes, printed(docs, id_col, text_col), percent, True)
+    least = linked.groupBy("component_key").agg(F.min("rep").alias("component_id"))
+    told = cut(linked.join(least, "component_key").select("n", "set1", "set2", "component_id"))
+    # a class of very many rows is split by the join, which no aggregate shares
+    out = rows.select("id", "n", "set1", "set2").join(told, ["n", "set1", "set2"], "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of least id
+    (then of least text hash). Unlike texts stay, also if they share an id; a
+    row that is there several times stays once; of texts without words every
+    distinct row stays, and rows without an id all do."""
+    rows = cut(sketches(docs, id_col, text_col))
+    linked = _linked(rows, _classes(rows), printed(docs, id_col, text_col), percent, False)
+    first = linked.groupBy("component_key").agg(F.min(F.struct("rep", "print")).alias("r")).select(F.col("r.rep").alias("id"), F.col("r.print").alias("print"))
+    kept = first.unionByName(rows.where("n = 0").select("id", "print").distinct())
+    key, print_ = fresh(docs, "id"), fresh(docs, "print")
+    told = docs.withColumns({key: F.col(id_col).cast("long"), print_: F.xxhash64(F.col(text_col).cast("string"))})
+    out = told.where(F.col(key).isNotNull()).join(kept.withColumnsRenamed({"id": key, "print": print_}), [key, print_], "left_semi").dropDuplicates([key, print_])
+    return out.unionByName(told.where(F.col(key).isNull())).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,8 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     its component). A row without an id has no component and is kept; rows
     that share an id are all rows of that id, kept alike. An empty table gives
     no rows; other columns are ignored."""
-    clean = clear_names(docs, *[c for c in ("id",) if c not in (id_col, text_col)])
-    found = groups(clean, percent, id_col, text_col)
+    found = groups(docs, percent, id_col, text_col)
     out = found.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    lone = clean.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(lone)

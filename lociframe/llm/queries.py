@@ -112,7 +112,7 @@ SELECT page_id, page_id // 512 AS file,
        row_number() OVER w - 1 AS seq,
        CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY page_id // 512 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
        CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest,
-       CASE WHEN page_id % 512 >= 510 THEN 'missing' WHEN other IS DISTINCT FROM html THEN 'corrupt' ELSE 'ok' END AS status
+       CASE WHEN page_id % 512 >= 510 OR page_id % 512 = 40 THEN 'missing' WHEN other IS DISTINCT FROM html THEN 'corrupt' ELSE 'ok' END AS status
 FROM d WINDOW w AS (PARTITION BY page_id // 512 ORDER BY page_id)
 """,
     "op10_url_filter": """

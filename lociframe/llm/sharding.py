@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear_names, cut
+from .common import clear_names, cut, fresh
 
 VIRTUAL_SLOTS = 4096
 #: Parts of a virtual slot whose rows are numbered in one sort.
@@ -111,13 +111,14 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     rows. Null ids and texts, repeated rows and empty tables are ordinary; an
     input column named like a new one is replaced. A shard's places follow
     (virtual slot, cell, id, crc); rows alike in all of these are told apart by
-    an arbitrary order, which no other column shows.
+    an arbitrary order, which no other column shows. Equal texts are ordinary
+    rows: the law is of bytes, so their ids may put them in different shards.
     """
-    spark = docs.sparkSession
+    spark, (cell, n, base) = docs.sparkSession, (fresh(docs, c) for c in ("cell", "n", "base"))
     rows = with_slots(docs, id_col, text_col)
     # a cell is a fixed part of a slot: rows are numbered inside it
-    rows = rows.withColumn("__cell", F.pmod(F.xxhash64(F.lit(7), F.col(id_col), "text_crc32", "size"), F.lit(CELLS)).cast("int"))
-    cells = cut(rows.groupBy("virtual_slot", "__cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    rows = rows.withColumn(cell, F.pmod(F.xxhash64(F.lit(7), F.col(id_col), "text_crc32", "size"), F.lit(CELLS)).cast("int"))
+    cells = cut(rows.groupBy("virtual_slot", cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     stats = slot_bytes_from(cells)
     if map_path is None:
         slot_map = balanced_map(stats, shards)
@@ -132,14 +133,14 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     slot_map = cut(slot_map.select("virtual_slot", "shard"))
     # at most VIRTUAL_SLOTS * CELLS rows: the base of every cell in its shard
     placed = cells.join(F.broadcast(slot_map), "virtual_slot")
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "__cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.select("virtual_slot", "__cell", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("virtual_slot", "__cell").orderBy(F.col(id_col), "text_crc32", "size")
-    keep = [c for c in rows.columns if c not in ("__cell",)]
-    out = rows.withColumn("__n", F.row_number().over(within) - 1).join(F.broadcast(cut(bases)), ["virtual_slot", "__cell"])
+    before = Window.partitionBy("shard").orderBy("virtual_slot", cell).rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.select("virtual_slot", cell, "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("virtual_slot", cell).orderBy(F.col(id_col), "text_crc32", "size")
+    keep = [c for c in rows.columns if c not in (cell,)]
+    out = rows.withColumn(n, F.row_number().over(within) - 1).join(F.broadcast(cut(bases)), ["virtual_slot", cell])
     return out.select(
         *[c for c in keep if c != "virtual_slot"], F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("__base") + F.col("__n")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        (F.col(base) + F.col(n)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 
 

@@ -82,7 +82,8 @@ def write_files(docs: DataFrame, out_dir: str, vocabulary: str, id_col: str = "d
         yield pd.DataFrame({"part": [task.partitionId()], "path": [stem], "docs": [len(lengths)], "ids": [int(offsets[-1])], "width": [encode.width]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # the text's beginning splits an id that very many rows share
+    ordered = ordered.repartitionByRange(n, F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
     manifest = cut(ordered.mapInPandas(write, MANIFEST))
     # one row a part: at most `parts` rows reach the driver
     rows = sorted(manifest.collect())

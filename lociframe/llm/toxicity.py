@@ -31,7 +31,10 @@ WORD_BYTES, PIECE_STEP = 16, 8
 #: Labelled documents a model is fitted on at most, by label, and the code
 #: points of the longest one among them.
 SAMPLE, SAMPLE_CHARS = {1: 1200, 0: 2400}, 20_000
-EPOCHS, RANDOM_EPOCHS, BATCH, RATE = 18, 8, 64, 0.01
+EPOCHS, RANDOM_EPOCHS, BATCH, RATE = 20, 8, 64, 0.01
+#: The last of EPOCHS whose parameters are averaged; the steps of a training at
+#: least (few texts take more epochs, in the same parts); a toxic text's weight.
+AVERAGED, LEAST_STEPS, POSITIVE_WEIGHT = 6, 300, 1.0
 #: First spread of four-gram rows, the share of word and of four-gram rows that
 #: a training step leaves out, and the pull of rows towards zero.
 GRAM_SCALE, DROP_WORDS, DROP_GRAMS, DECAY = 0.1, 0.5, 0.2, 1e-3
@@ -222,23 +225,30 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
     first = np.searchsorted(owner, np.arange(len(bags)))
     count = np.bincount(owner)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step, weight = 0, np.where(y > 0, 0.5 / max(y.mean(), 0.02) * 0.6, 1.0).astype(np.float32)
-    weight = np.minimum(weight, 4.0)
-    for epoch in range(EPOCHS):
+    step, weight = 0, np.where(y > 0, min(POSITIVE_WEIGHT, 0.3 / max(y.mean(), 0.02)), 1.0).astype(np.float32)
+    # few texts are gone through more often
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)))
+    mean, seen = {k: v.copy() for k, v in net.p.items()}, 0
+    for epoch in range(epochs):
         random = first + (rng.random(len(bags)) * count).astype(np.int64)
         chosen, who = [random], [np.arange(len(bags))]
-        if epoch >= RANDOM_EPOCHS:
+        if epoch >= epochs * RANDOM_EPOCHS // EPOCHS:
             logits = _all_logits(net, words, every, pad)
             order = np.lexsort((-logits, owner))
             best = order[np.searchsorted(owner[order], np.arange(len(bags)))]
             chosen, who = [best, random[y == 0]], [np.arange(len(bags)), np.flatnonzero(y == 0)]
         chosen, who = np.concatenate(chosen), np.concatenate(who)
         shuffled = rng.permutation(len(chosen))
-        rate = RATE * (0.3 if epoch >= EPOCHS - 3 else 1.0)
+        rate = RATE * (0.3 if epoch >= epochs - 3 else 1.0)
         for at in range(0, len(shuffled), BATCH):
             pick = shuffled[at : at + BATCH]
             step += 1
             _step(net, words, every[chosen[pick]], y[who[pick]], weight[who[pick]], pad, moment, step, rate, rng)
+            if epoch >= epochs - epochs * AVERAGED // EPOCHS:
+                seen += 1
+                for k, v in net.p.items():
+                    mean[k] += (v - mean[k]) / seen
+    net.p = mean
     return net
 
 

@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import clear_names, fresh
+
 #: Rules that may be broadcast as one trie; larger lists take the join.
 MAX_TRIE_RULES = 200_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """action: allow or block. text: host and path, like example.net/en/."""
+    """action: allow or block. text: host and path, like example.net/en/. A-Z in
+    the host are lower-cased, as those of a url are."""
 
     action: str
     text: str
 
     @property
     def host(self) -> str:
-        return self.text.partition("/")[0]
+        return self.text.partition("/")[0].translate({i: i + 32 for i in range(65, 91)})
 
     @property
     def path(self) -> str:
@@ -100,11 +103,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     The trie is broadcast; a list of more than MAX_TRIE_RULES rules is joined
     by its (host, path) instead, so nothing unbounded is sent to executors.
     """
-    from .common import clear_names
-
     host, path = split_url(F.col(url_col))
-    df = clear_names(pages.withColumns({"__host": host, "__path": path}), "host", "path", "rule", "verdict")
-    df = df.withColumnsRenamed({"__host": "host", "__path": "path"})
+    names = [fresh(pages, c) for c in ("host", "path", "m")]
+    df = clear_names(pages.withColumns({names[0]: host, names[1]: path}), "host", "path", "rule", "verdict")
+    df = df.withColumnsRenamed({names[0]: "host", names[1]: "path"})
     if len(rules) > MAX_TRIE_RULES:
         return _by_join(df, rules, default)
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
@@ -114,8 +116,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
         match = trie.value.match
         return pd.DataFrame([match(h, p) for h, p in zip(hosts, paths, strict=True)], columns=["action", "rule"])
 
-    out = df.withColumn("__m", judge("host", "path"))
-    return out.withColumns({"rule": F.col("__m.rule"), "verdict": F.coalesce("__m.action", F.lit(default))}).drop("__m")
+    m = names[2]
+    out = df.withColumn(m, judge("host", "path"))
+    return out.withColumns({"rule": F.col(f"{m}.rule"), "verdict": F.coalesce(f"{m}.action", F.lit(default))}).drop(m)
 
 
 def _by_join(df: DataFrame, rules: list[Rule], default: str) -> DataFrame:
