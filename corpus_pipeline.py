@@ -15,16 +15,15 @@ from lociframe.llm.common import shared_dir, table, vocabulary
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier predicts to be toxic."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.score(docs.withColumn("__text", F.col("text")), net, "__text")
-    return judged.where("predicted = 0").select(*docs.columns)
+    # the row as a struct: none of its columns can clash with new ones
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return toxicity.score(whole, net).where("predicted = 0").select("row.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, that of the least id
-    (of rows that share it one; rows without an id stay)."""
-    kept = near_dup.groups(docs, percent=80).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    firsts = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return firsts.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one document of each near-duplicate group, that of the least id;
+    unlike texts stay, whatever their ids, and so do rows without an id."""
+    return near_dup.one_of_each(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
