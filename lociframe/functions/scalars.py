@@ -51,6 +51,18 @@ def is_main_contig(c: Column) -> Column:
     return c.rlike(r"(?i)^(chr)?([0-9]+|[XYM]|MT)$")
 
 
+def is_annotated_contig(c: Column) -> Column:
+    """The stricter gate of cohort annotation: chr and digits or M, T, X, Y."""
+    return c.rlike(r"^chr[0-9MTXY]+$")
+
+
+def parse_node(c: Column) -> Column:
+    """struct(chrom, start, end, strand) of a node text ('chr1', 10, 20, '+')."""
+    p = r"^\(\s*['\"]([^'\"]+)['\"]\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*['\"]([^'\"]*)['\"]\s*\)$"
+    part = lambda i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
+    return F.struct(part(1).alias("chrom"), part(2).cast("int").alias("start"), part(3).cast("int").alias("end"), part(4).alias("strand"))
+
+
 def assembly(c: Column) -> Column:
     """hg19, hg38 or chm13 by parts of a file name."""
     low = F.lower(c)
@@ -140,18 +152,20 @@ def aligned_blocks(ops: Column, start: Column) -> Column:
 MATCH, MISMATCH, DELETED, PER_INSERTED = 1, -4, -6, 4
 
 
-def read_vector(ops: Column) -> Column:
+def read_vector(ops: Column, seq: Column | None = None) -> Column:
     """array<int> over the reference span of a CIGAR with = and X (M raises an
-    error). Insertions before the first or after the last base vanish."""
-    zero = F.struct(F.expr("cast(array() as array<int>)").alias("v"), F.lit(0).alias("ins"))
+    error). Insertions before the first or after the last base vanish. With the
+    read's bases, a single mismatch that reads N is a match."""
+    zero = F.struct(F.expr("cast(array() as array<int>)").alias("v"), F.lit(0).alias("ins"), F.lit(0).alias("q"))
 
     def step(a, x):
-        value = F.when(x["op"] == "X", MISMATCH).when(x["op"] == "D", DELETED).otherwise(MATCH)
+        unread = F.lit(False) if seq is None else (x["len"] == 1) & (F.upper(seq.substr(a["q"] + 1, F.lit(1))) == "N")
+        value = F.when((x["op"] == "X") & ~F.coalesce(unread, F.lit(False)), MISMATCH).when(x["op"] == "D", DELETED).otherwise(MATCH)
         span = F.when(a["ins"] > 0, F.concat(F.array(a["ins"]), F.array_repeat(value, x["len"] - 1))).otherwise(F.array_repeat(value, x["len"]))
         spans = x["op"].isin("=", "X", "D", "N")
         v = F.when(spans & (x["len"] > 0), F.concat(a["v"], span)).when(x["op"] == "M", F.raise_error(F.lit("CIGAR must tell = from X")).cast("array<int>")).otherwise(a["v"])
         ins = F.when(spans, 0).when((x["op"] == "I") & (F.size(a["v"]) > 0), x["len"] * PER_INSERTED).otherwise(a["ins"])
-        return F.struct(v.alias("v"), ins.cast("int").alias("ins"))
+        return F.struct(v.alias("v"), ins.cast("int").alias("ins"), (a["q"] + F.when(x["op"].isin("=", "X", "I", "S"), x["len"]).otherwise(0)).alias("q"))
 
     return F.aggregate(ops, zero, step, lambda a: a["v"])
 
@@ -299,6 +313,39 @@ def adjusted_strand(strand1: Column, relative: Column) -> Column:
     return F.when(strand1 == "-", F.when(relative == "+", "-").when(relative == "-", "+").otherwise(relative)).otherwise(relative)
 
 
+#: Codes of bases; any other base is 4.
+BASES = "ATCG"
+
+
+def encoded(seq: Column) -> Column:
+    """array<int> of the bases of a sequence: A 0, T 1, C 2, G 3, others 4."""
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    return F.transform(letters, lambda c: F.coalesce(F.nullif(F.position(F.upper(c), F.lit(BASES)), F.lit(0)) - 1, F.lit(4)))
+
+
+def interval_sequence(codes: Column, index: Column, low: Column, high: Column) -> Column:
+    """The part of an encoded read that reference places [low, high) of its span
+    align to, from its index (see query_index); gaps at both ends are skipped
+    inward, and a wholly deleted interval is empty."""
+    own = F.filter(F.slice(index, low + 1, F.greatest(high - low, F.lit(0))), lambda q: q >= 0)
+    part = bound(own, lambda o: F.slice(codes, F.get(o, 0) + 1, F.element_at(o, -1) - F.get(o, 0) + 1))
+    return F.when(F.size(own) > 0, part).otherwise(F.slice(codes, 1, 0))
+
+
+def verdict(values: Column) -> Column:
+    """Of votes 1, 0 and -1: whether there is a 1 and no -1."""
+    return F.exists(values, lambda v: v == 1) & F.forall(values, lambda v: v != -1)
+
+
+def vetoed(values: Column) -> Column:
+    return F.exists(values, lambda v: v == -1)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Places (from 0) where two arrays of one length differ."""
+    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i) != F.get(b, i))
+
+
 def equal_but_n(a: Column, b: Column, unknown: int = 4) -> Column:
     """Equal encoded sequences, an unknown base equal to any."""
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: (x == y) | (x == unknown) | (y == unknown)), lambda x: F.coalesce(x, F.lit(False)))
@@ -320,6 +367,15 @@ def overlap_fraction(overlap: Column, size_a: Column, size_b: Column) -> Column:
     return F.greatest(overlap / size_a, overlap / size_b)
 
 
+def same_pair(a: Column, b: Column) -> Column:
+    """Whether two pairs (structs of chr_i, start_i, end_i, strandi) are one,
+    maybe with their sides swapped, in the same relative strand."""
+    side = lambda x, i: F.struct(x[f"chr_{i}"], x[f"start_{i}"], x[f"end_{i}"])
+    strand = (a["strand1"] == a["strand2"]) == (b["strand1"] == b["strand2"])
+    straight = (side(a, 1) == side(b, 1)) & (side(a, 2) == side(b, 2))
+    return strand & (straight | ((side(a, 1) == side(b, 2)) & (side(a, 2) == side(b, 1))))
+
+
 def similarity_score(size: Column, other: Column) -> Column:
     """(v - a) + v / a, or v for the last part where a is 0."""
     return (size - other) + F.when(other > 0, size / other).otherwise(size.cast("double"))

@@ -1,8 +1,9 @@
 """Interval algebra on half-open intervals (chrom, start, end), 0-based.
 
-Sweeps partition by chrom; joins are equi-joins on (chrom, bin), so neither
-needs a whole table in one task. Extra columns pass through where a result row
-belongs to one input row.
+Sweeps run within tiles of a chrom and take up what earlier tiles leave (a
+furthest end, a depth, a count) from a table of a row per tile; joins are
+equi-joins on (chrom, bin). So neither needs a chrom in one task. Extra columns
+pass through where a result row belongs to one input row.
 """
 
 from __future__ import annotations
@@ -14,14 +15,48 @@ from pyspark.sql import functions as F
 BIN = 64
 
 
-def islands(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), out: str = "island") -> DataFrame:
+#: Positions of a tile of a sweep.
+TILE = 1 << 16
+
+
+def _earlier(tiles: DataFrame, keys: list[str], **carried: Column) -> DataFrame:
+    """keys, __tile and what the earlier tiles of the same keys leave; tiles has
+    a row per tile. carried: names and aggregates over those rows."""
+    before = Window.partitionBy(*keys).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
+    return tiles.select(*keys, "__tile", *[c.over(before).alias(n) for n, c in carried.items()])
+
+
+def _same_tile(keys: list[str], a: DataFrame, b: DataFrame) -> DataFrame:
+    """a with b's columns of the same tile; null keys are equal."""
+    names = [*keys, "__tile"]
+    right = b.withColumnsRenamed({k: f"{k}__t" for k in names})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__t")) for k in names]
+    return a.join(right, on, "left").drop(*[f"{k}__t" for k in names])
+
+
+def _with_reach(df: DataFrame, keys: list[str], order: list[Column], tile: int) -> tuple[DataFrame, object]:
+    """df with __tile and __reach, the furthest end of all earlier rows of the
+    same keys (by start, then order), and the window of a tile."""
+    tiled = df.withColumn("__tile", F.floor(F.col("start") / tile))
+    ends = tiled.groupBy(*keys, "__tile").agg(F.max("end").alias("m"))
+    both = _same_tile(keys, tiled, _earlier(ends, keys, __before=F.max("m")))
+    within = Window.partitionBy(*keys, "__tile").orderBy(*order)
+    own = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("__reach", F.greatest(own, F.col("__before"))).drop("__before"), within
+
+
+def islands(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), out: str = "island", tile: int = TILE) -> DataFrame:
     """Adds an island number per keys: rows whose start is at most `gap` after
     the furthest end so far share one. Book-ended intervals (gap 0) touch. Equal
     intervals are peers, so that the number hangs on no order among them."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
-    return df.withColumn("__opens", opens).withColumn(out, F.sum("__opens").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__opens")
+    names = list(keys)
+    reached, within = _with_reach(df, names, [F.col("start"), F.col("end")], tile)
+    opens = F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + gap), 1).otherwise(0)
+    opened = reached.withColumn("__opens", opens).drop("__reach")
+    counts = opened.groupBy(*names, "__tile").agg(F.sum("__opens").alias("n"))
+    both = _same_tile(names, opened, _earlier(counts, names, __count=F.sum("n")))
+    number = F.sum("__opens").over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow)) + F.coalesce("__count", F.lit(0))
+    return both.withColumn(out, number).drop("__opens", "__count", "__tile")
 
 
 def merge(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), **aggregates: Column) -> DataFrame:
@@ -52,18 +87,17 @@ def overlaps(a: DataFrame, b: DataFrame, size: int = BIN, how: str = "inner") ->
     kept in the first bin of their overlap.
     """
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
-    left = a.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else a
-    x, y = binned(left, size), binned(right, size, "start_b", "end_b").withColumnRenamed("__bin", "__bin_b")
+    x, y = binned(a, size), binned(right, size, "start_b", "end_b").withColumnRenamed("__bin", "__bin_b")
     on = (F.col("chrom") == F.col("chrom_b")) & (F.col("__bin") == F.col("__bin_b")) & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end"))
     hit = x.join(y, on).where(F.col("__bin") == F.floor(F.greatest("start", "start_b") / size)).drop("__bin", "__bin_b")
     hit = hit.withColumn("overlap_len", F.least("end", "end_b") - F.greatest("start", "start_b"))
     if how == "inner":
         return hit
-    # rows of a without any hit, by their number
-    lone = left.join(hit.select("__row").distinct(), "__row", "left_anti")
+    # rows of a without any hit: their coordinates alone decide
+    lone = a.join(hit.select("chrom", "start", "end").distinct(), ["chrom", "start", "end"], "left_anti").select(*a.columns)
     for c, kind in right.dtypes:
         lone = lone.withColumn(c, F.lit(None).cast(kind))
-    return hit.unionByName(lone.withColumn("overlap_len", F.lit(0))).drop("__row")
+    return hit.unionByName(lone.withColumn("overlap_len", F.lit(0)))
 
 
 def intersect(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
@@ -76,9 +110,11 @@ def intersect(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
 def semi(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     """Rows of a that overlap any interval of b, once each. b is merged first,
     which bounds the hits of a row."""
-    numbered = a.withColumn("__row", F.monotonically_increasing_id())
-    ids = overlaps(numbered.select("__row", "chrom", "start", "end"), merge(b.select("chrom", "start", "end")), size).select("__row").distinct()
-    return numbered.join(ids, "__row", "left_semi").drop("__row")
+    # coordinates alone decide, so rows need no numbers (which a second reading
+    # of the same table might give out otherwise)
+    place = ["chrom", "start", "end"]
+    hit = overlaps(a.select(*place).distinct(), merge(b.select(*place)), size).select(*place).distinct()
+    return a.join(hit, place, "left_semi").select(*a.columns)
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
@@ -87,13 +123,14 @@ def subtract(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chrom", "stra
     cut = [F.col("start"), F.col("end"), *[F.col(k) for k in keys if k != "chrom"]]
     names = ["start", "end", *[k for k in keys if k != "chrom"]]
     holes = holes.select("chrom", *[c.alias(n) for c, n in zip(cut, names, strict=True)])
-    hit = overlaps(a, holes, how="left")
+    numbered = a.withColumn("__a", F.monotonically_increasing_id())
+    hit = overlaps(numbered, holes, how="left")
     same = F.lit(True)
     for k in keys:
         if k != "chrom":
             same = same & (F.col(k) == F.col(f"{k}_b"))
     piece = F.when(same & F.col("start_b").isNotNull(), F.struct(F.greatest("start", "start_b").alias("s"), F.least("end", "end_b").alias("e")))
-    group = hit.groupBy(*a.columns).agg(F.sort_array(F.collect_set(piece)).alias("c"))
+    group = hit.groupBy("__a", *a.columns).agg(F.sort_array(F.collect_set(piece)).alias("c"))
     rest = F.transform(F.sequence(F.lit(0), F.size("c")), lambda i: F.struct(
         F.when(i == 0, F.col("start")).otherwise(F.get(F.col("c"), F.greatest(i - 1, F.lit(0)))["e"]).alias("s"),
         F.when(i == F.size("c"), F.col("end")).otherwise(F.get(F.col("c"), i)["s"]).alias("e")))
@@ -112,7 +149,7 @@ def total_coverage(df: DataFrame) -> DataFrame:
     return merge(df.select("chrom", "start", "end")).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias("covered"))
 
 
-def depth_runs(df: DataFrame, **measures: Column) -> DataFrame:
+def depth_runs(df: DataFrame, tile: int = TILE, **measures: Column) -> DataFrame:
     """Runs (chrom, start, end) of constant depth > 0, by a sweep over starts
     and ends. measures: names and 0/1 columns, each a further depth."""
     names = ["depth", *measures]
@@ -120,8 +157,15 @@ def depth_runs(df: DataFrame, **measures: Column) -> DataFrame:
     up = weighted.select("chrom", F.col("start").alias("pos"), *names)
     down = weighted.select("chrom", F.col("end").alias("pos"), *[(-F.col(n)).alias(n) for n in names])
     steps = up.unionByName(down).groupBy("chrom", "pos").agg(*[F.sum(n).alias(n) for n in names])
-    order = Window.partitionBy("chrom").orderBy("pos")
-    sums = steps.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
+    tiled = steps.withColumn("__tile", F.floor(F.col("pos") / tile))
+    totals = tiled.groupBy("chrom", "__tile").agg(F.min("pos").alias("first"), *[F.sum(n).alias(n) for n in names])
+    later = Window.partitionBy("chrom").orderBy("__tile")
+    before = later.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("chrom", "__tile", F.lead("first").over(later).alias("__next"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in names])
+    order = Window.partitionBy("chrom", "__tile").orderBy("pos")
+    both = _same_tile(["chrom"], tiled, carried)
+    depth = [(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__{n}")).alias(n) for n in names]
+    sums = both.select("chrom", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(order), F.col("__next")).alias("end"), *depth)
     return sums.where(F.col("end").isNotNull() & (F.col("depth") > 0))
 
 
@@ -146,12 +190,11 @@ def windows(df: DataFrame, width: int, step: int) -> DataFrame:
     return tiles.select(*others, F.col("w").alias("start"), F.least(F.col("w") + width, "end").alias("end"))
 
 
-def drop_contained(df: DataFrame) -> DataFrame:
+def drop_contained(df: DataFrame, tile: int = TILE) -> DataFrame:
     """Drops intervals that an earlier one (by start, longest first) encloses;
-    of equal ones the first stays."""
-    order = Window.partitionBy("chrom").orderBy(F.col("start"), F.col("end").desc())
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col("end") > F.col("__reach"))).drop("__reach")
+    of equal ones one stays."""
+    reached, _ = _with_reach(df, ["chrom"], [F.col("start"), F.col("end").desc()], tile)
+    return reached.where(F.col("__reach").isNull() | (F.col("end") > F.col("__reach"))).drop("__reach", "__tile")
 
 
 def complement_new(new: DataFrame, inspected: DataFrame) -> DataFrame:

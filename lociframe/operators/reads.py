@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cigar_ops, haplotype_tag, longest_gap, parse_region, poisson_quantile
+from ..functions.scalars import aligned_blocks, cigar_ops, haplotype_tag, longest_gap, parse_region, poisson_quantile, query_index
 from .intervals import overlaps, semi
 
 UNMAPPED, SECONDARY, QCFAIL, DUPLICATE, SUPPLEMENTARY, PROPER, FIRST, SECOND = 4, 256, 512, 1024, 2048, 2, 64, 128
@@ -61,10 +61,13 @@ def noisy(flag: Column, mapq: Column, span: Column, mate_elsewhere: Column, qual
 
 
 def clean_pairs(df: DataFrame, noisy_col: str = "noisy") -> DataFrame:
-    """qname, start, end of pairs without a noisy read and with both mates."""
+    """qname, chrom, start, end of pairs without a noisy read and with both
+    mates, wherever they are; a span for each chrom."""
     flag = F.col("flag")
-    pairs = df.groupBy("qname", "chrom").agg(F.bool_or(noisy_col).alias("bad"), F.bool_or(has(flag, FIRST)).alias("r1"), F.bool_or(has(flag, SECOND)).alias("r2"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return pairs.where("not bad and r1 and r2").select("qname", "chrom", "start", "end")
+    per_chrom = df.groupBy("qname", "chrom").agg(F.bool_or(noisy_col).alias("bad"), F.bool_or(has(flag, FIRST)).alias("r1"), F.bool_or(has(flag, SECOND)).alias("r2"), F.min("start").alias("start"), F.max("end").alias("end"))
+    pair = Window.partitionBy("qname")
+    told = per_chrom.withColumns({c: F.bool_or(c).over(pair) for c in ("bad", "r1", "r2")})
+    return told.where("not bad and r1 and r2").select("qname", "chrom", "start", "end")
 
 
 def recruit(reads: DataFrame, regions: DataFrame, multialigned: bool = False) -> DataFrame:
@@ -80,15 +83,59 @@ def first_of_duplicates(df: DataFrame, keys: list[str], order: list[Column]) ->
 
 def sampled(df: DataFrame, per_mille: int, run: int = 0, key: str = "qname") -> DataFrame:
     """All rows of a share of the keys, the same at each run of that number."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(run)), F.lit(1000)) < per_mille)
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(run))))
+    return df.where(F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1000)) < per_mille)
+
+
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows in a total order: the sample that a mean is taken of."""
+    return df.orderBy(*order).limit(n)
 
 
 def insert_statistics(sizes: DataFrame, column: str = "size") -> DataFrame:
-    """Mean, median and population deviation of sizes up to the 99th
-    percentile."""
-    top = sizes.agg(F.percentile(column, 0.99).alias("top"))
-    kept = sizes.crossJoin(F.broadcast(top)).where(F.col(column) <= F.col("top"))
-    return kept.agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.stddev_pop(column).alias("deviation"), F.count("*").alias("n"))
+    """Mean, median and population deviation of sizes up to the 99th percentile.
+    The percentiles are of counts by size, so that one task gets a row for each
+    size and not for each read."""
+    counts = sizes.groupBy(F.col(column).alias("s")).agg(F.count("*").alias("n"))
+    top = counts.agg(F.percentile("s", 0.99, F.col("n")).alias("top"))
+    kept = counts.crossJoin(F.broadcast(top)).where(F.col("s") <= F.col("top"))
+    n, total, squares = F.sum("n"), F.sum(F.col("s") * F.col("n")), F.sum(F.col("s").cast("double") * F.col("s") * F.col("n"))
+    return kept.agg((total / n).alias("mean"), F.percentile("s", 0.5, F.col("n")).alias("median"), F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))).alias("deviation"), n.alias("n"))
+
+
+def averaged_insert_statistics(df: DataFrame, runs: int = 10, per_mille: int = 1, column: str = "size", key: str = "qname") -> DataFrame:
+    """The mean of the statistics of several samples by name, one row."""
+    every = [insert_statistics(sampled(df, per_mille, k, key).select(column), column) for k in range(runs)]
+    return reduce(lambda a, b: a.unionByName(b), every).agg(*[F.avg(c).alias(c) for c in ("mean", "median", "deviation")])
+
+
+def region_reads(df: DataFrame, regions: DataFrame, early: bool = True, once: bool = False) -> DataFrame:
+    """Reads by region, as an indexed fetch gives them: a read is there once for
+    each region that it overlaps. early: a region begins one base before its
+    start (its text is read as 1-based); once: each read only once."""
+    wide = regions.select("chrom", F.greatest(F.col("start") - int(early), F.lit(0)).alias("start"), "end")
+    if once:
+        return semi(df, wide)
+    return overlaps(df, wide).select(*df.columns)
+
+
+def aligned_depth_input(df: DataFrame, least_mapq: int = 0, least_quality: int = 0) -> DataFrame:
+    """chrom, start, end of the aligned blocks (no deletions) of reads of enough
+    mapq; with a least base quality, single bases that reach it. df: chrom,
+    start, mapq, cigar and, for qualities, quals."""
+    ops = cigar_ops(F.col("cigar"))
+    kept = df.where(F.col("mapq") >= least_mapq)
+    if not least_quality:
+        return kept.select("chrom", F.explode(aligned_blocks(ops, F.col("start"))).alias("b")).select("chrom", F.col("b.s").alias("start"), F.col("b.e").alias("end"))
+    flat = kept.select("chrom", "start", "quals", F.posexplode(query_index(ops)).alias("at", "q")).where("q >= 0")
+    good = flat.where(F.get(F.col("quals"), F.col("q")) >= least_quality)
+    return good.select("chrom", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + 1).alias("end"))
+
+
+def summary_numbers(lines: DataFrame) -> DataFrame:
+    """name, value of the SN lines of a statistics report (column value)."""
+    f = F.split("value", "\t")
+    return lines.where(F.col("value").startswith("SN\t")).select(F.rtrim(F.regexp_replace(f[1], ":$", "")).alias("name"), f[2].cast("double").alias("number"))
 
 
 def haplotype_ranks(records: DataFrame) -> DataFrame:
@@ -106,6 +153,18 @@ def haplotype_filter(records: DataFrame, least_depth: int = 5, most_similar: flo
     return kept.withColumn("__n", F.count("*").over(Window.partitionBy("chrom", "start", "end"))).where(F.col("__n") >= least_size).drop("__n")
 
 
+def small_gate(haps: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
+    """Adds small: whether there are at most `most` haplotypes, so that all are
+    taken to be right."""
+    return haps.withColumn("small", F.count("*").over(Window.partitionBy(*keys)) <= most)
+
+
+def best_scores(haps: DataFrame, scores: DataFrame) -> DataFrame:
+    """Adds best: the highest score of each haplotype (hap, score), at least 0."""
+    top = scores.groupBy("hap").agg(F.max("score").alias("__s"))
+    return haps.join(top, "hap", "left").withColumn("best", F.greatest(F.coalesce("__s", F.lit(0.0)), F.lit(0.0))).drop("__s")
+
+
 def decide(haps: DataFrame) -> DataFrame:
     """Adds mismapped: dropped by the program, extreme, too similar to another
     copy, or scattered with several variants."""
@@ -140,10 +199,11 @@ def mismatch_limit(df: DataFrame, alpha: float = 0.05, least: int = 4) -> DataFr
 
 
 def rebased(df: DataFrame, label: str) -> DataFrame:
-    """Places on masked contigs named chrom:offset as places on the genome; the
-    label goes to the read name."""
+    """Places on masked contigs named chrom:offset as places on the genome (of a
+    mate too, if there is mate_pos); the label goes to the read name."""
     parts = F.split("contig", ":")
-    return df.withColumns({"chrom": parts[0], "pos": parts[1].cast("long") + F.col("pos"), "qname": F.concat(F.col("qname").cast("string"), F.lit(f":{label}"))}).drop("contig")
+    places = {c: parts[1].cast("long") + F.col(c) for c in ("pos", "mate_pos") if c in df.columns}
+    return df.withColumns({"chrom": parts[0], **places, "qname": F.concat(F.col("qname").cast("string"), F.lit(f":{label}"))}).drop("contig")
 
 
 def first_alignments(df: DataFrame) -> DataFrame:

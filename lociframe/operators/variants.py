@@ -17,14 +17,30 @@ def normalise(df: DataFrame) -> DataFrame:
     return flat.withColumns({"ref": F.upper("ref"), "alt": F.upper("alt")}).dropDuplicates(KEY)
 
 
+def called(df: DataFrame) -> DataFrame:
+    """Records with a genotype that has an alternative allele."""
+    return df.where(F.coalesce(F.col("gt").rlike(r"[1-9]"), F.lit(False)))
+
+
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """The source's label as the filter of every record that has a genotype."""
+    known = F.coalesce(~F.col("gt").contains("."), F.lit(False))
+    return df.withColumn("filter", F.when(known, F.array(F.lit(label))).otherwise(F.col("filter")))
+
+
+def having(df: DataFrame, *tags: str) -> DataFrame:
+    """Records whose filter has any of the tags."""
+    return df.where(F.arrays_overlap("filter", F.array(*[F.lit(t) for t in tags])))
+
+
 def tagged(filters: Column, tag: Column) -> Column:
     """The list with tag at its end, once."""
     return F.concat(F.array_remove(filters, tag), F.array(tag))
 
 
 def soft_filter(df: DataFrame, condition: Column, tag: str) -> DataFrame:
-    """Adds a tag to the filter list where the condition is true."""
-    return df.withColumn("filter", F.when(F.coalesce(condition, F.lit(False)), F.array_union("filter", F.array(F.lit(tag)))).otherwise(F.col("filter")))
+    """Puts a tag at the end of the filter list where the condition is true."""
+    return df.withColumn("filter", F.when(F.coalesce(condition, F.lit(False)), tagged(F.col("filter"), F.lit(tag))).otherwise(F.col("filter")))
 
 
 def in_regions(variants: DataFrame, regions: DataFrame) -> DataFrame:
@@ -138,9 +154,11 @@ def precision_recall(truth: DataFrame, called: DataFrame, on: list[str] = KEY) -
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by key; those of new replace those of old."""
+    """Rows by key; those of new replace those of old. Of several new rows of a
+    key the least by all columns stays."""
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__v").desc()))).where("__n = 1").drop("__n", "__v")
+    rest = [c for c in both.columns if c != "__v"]
+    return both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__v").desc(), *rest))).where("__n = 1").drop("__n", "__v")
 
 
 def merge_headers(*headers: DataFrame) -> DataFrame:

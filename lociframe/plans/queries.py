@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import graphs, intervals, paralogs, phasing, reads, variants
 from ..sources import adapters
+from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,23 +72,12 @@ DEPTH = """SELECT * FROM (
 
 
 # --- pipelines over depth ---------------------------------------------------------
-
-
-def multialigned(r: DataFrame, targets: DataFrame, least: int = 5, share: float = 0.5, high: int = 10) -> DataFrame:
-    """Regions of targets where enough reads align to other places too: one
-    sweep gives all depths."""
-    close = F.col("tag_as") - F.col("tag_xs") <= 5
-    runs = intervals.depth_runs(r, high=F.col("mapq") >= 41, multi=F.col("xa") == 1, near=close)
-    kept = runs.where((F.col("depth") >= least) & ((F.col("multi") >= share * F.col("depth")) | (F.col("near") >= share * F.col("depth"))) & (F.col("high") <= high))
-    return intervals.intersect(intervals.merge(kept.select("chrom", "start", "end")), intervals.merge(targets.select("chrom", "start", "end")))
-
-
 MULTI_SQL = f"""WITH dep AS ({DEPTH}),
 kept AS (SELECT chrom, start, "end" FROM dep WHERE depth >= 5 AND (multi >= 0.5 * depth OR near >= 0.5 * depth) AND high <= 10),
 m AS ({MERGE.format(k="chrom", g=0, t="kept")}),
 t AS ({MERGE.format(k="chrom", g=0, t="targets")})
 SELECT m.chrom, greatest(m.start, t.start) AS start, least(m."end", t."end") AS "end" FROM m JOIN t ON m.chrom = t.chrom AND m.start < t."end" AND t.start < m."end" """
-query("multialign_regions", IV, "reads targets", MULTI_SQL)(multialigned)
+query("multialign_regions", IV, "reads targets", MULTI_SQL)(flows.multialigned)
 
 query("iv_merge", IV, "reads", MERGE.format(k="chrom", g=0, t="reads"))(lambda r: intervals.merge(r))
 query("iv_merge_d", IV, "targets", MERGE.format(k="chrom", g=40, t="targets"))(lambda t: intervals.merge(t, 40))
@@ -151,8 +141,9 @@ XS = "coalesce(tag_as - tag_xs <= 5, tag_xs IS NOT NULL)"
 READ = "chrom:s start:i end:i qname:i mapq:i"
 for _logic, _sql in (("and", f"xa = 1 AND {XS}"), ("or", f"(xa = 1 OR {XS})"), ("not", f"NOT (xa = 1 OR {XS})")):
     query(f"read_filter_{_logic}", READ, "reads", f'SELECT chrom, start, "end", qname, mapq FROM reads WHERE {OK} AND {_sql}')(lambda r, k=_logic: reads.read_filter(r, 20, ("xa", "xs"), k))
-query("noisy_pairs", "qname:i chrom:s start:i end:i", "reads", """SELECT qname, chrom, min(start) AS start, max("end") AS "end" FROM (SELECT *, CASE WHEN (flag & 2304) <> 0 THEN false WHEN (flag & 516) <> 0 OR mapq < 20 THEN true WHEN (flag & 1) <> 0 AND ("end" - start) * 10 < 75 THEN true ELSE false END AS noisy FROM reads) x
-GROUP BY qname, chrom HAVING NOT bool_or(noisy) AND bool_or((flag & 64) <> 0) AND bool_or((flag & 128) <> 0)""")(
+query("noisy_pairs", "qname:i chrom:s start:i end:i", "reads", """WITH x AS (SELECT *, CASE WHEN (flag & 2304) <> 0 THEN false WHEN (flag & 516) <> 0 OR mapq < 20 THEN true WHEN (flag & 1) <> 0 AND ("end" - start) * 10 < 75 THEN true ELSE false END AS noisy FROM reads),
+ok AS (SELECT qname FROM x GROUP BY qname HAVING NOT bool_or(noisy) AND bool_or((flag & 64) <> 0) AND bool_or((flag & 128) <> 0))
+SELECT qname, chrom, min(start) AS start, max("end") AS "end" FROM x WHERE qname IN (SELECT qname FROM ok) GROUP BY qname, chrom""")(
     lambda r: reads.clean_pairs(r.withColumn("noisy", reads.noisy(F.col("flag"), F.col("mapq"), (F.col("end") - F.col("start")) * 10, F.lit(False), least_mapq=20))))
 for _name, _where, _multi in (("recruit_fc", "true", False), ("recruit_nfc", "(a.xa = 1 OR a.mapq < 50)", True)):
     query(_name, READ, "reads targets", f'SELECT chrom, start, "end", qname, mapq FROM reads WHERE qname IN (SELECT a.qname FROM {HIT} WHERE {_where})')(lambda r, t, m=_multi: reads.recruit(r, t, m))
@@ -193,7 +184,7 @@ query("seq_error", "qname:i ln:i artefact:b", "reads", "SELECT DISTINCT qname, l
 
 # --- homology graph -----------------------------------------------------------------------
 NODE = "concat_ws(':', chr_{i}, start_{i}, end_{i}, strand{i})"
-EDGE_SQL = f"""SELECT least(x, y) AS a, greatest(x, y) AS b, max(rate) AS weight FROM (SELECT {NODE.format(i=1)} AS x, {NODE.format(i=2)} AS y, rate FROM sd_pairs) e WHERE x <> y GROUP BY 1, 2"""
+EDGE_SQL = f"""SELECT least(x, y) AS a, greatest(x, y) AS b, coalesce(max(CASE WHEN x > y THEN rate END), max(rate)) AS weight FROM (SELECT {NODE.format(i=1)} AS x, {NODE.format(i=2)} AS y, rate FROM sd_pairs) e WHERE x <> y GROUP BY 1, 2"""
 query("sd_edges", "a:s b:s weight:i", "sd_pairs", EDGE_SQL)(lambda p: graphs.homology_edges(p))
 WO = """SELECT p.*, least(p.end_1, t."end") - greatest(p.start_1, t.start) AS overlap_len, t.target_id FROM sd_pairs p JOIN targets t ON p.chr_1 = t.chrom AND p.start_1 < t."end" AND t.start < p.end_1"""
 
@@ -339,7 +330,7 @@ WEAK = "coalesce(({n}_alt <= 1) OR ({n}_alt * 1.0 / nullif({n}_dp, 0) <= 0.1), t
 query("lost_alt", VK, "variants", f"""WITH t AS (SELECT chrom, pos, ref, alt, ad_alt AS re_alt, ad_alt + ad_ref AS re_dp, gq AS high_alt, an AS high_dp, hp AS low_alt, ac AS low_dp FROM variants WHERE side = 'q')
 SELECT chrom, pos, ref, alt FROM t WHERE NOT ({WEAK.format(n="re")} AND ({WEAK.format(n="high")} OR {WEAK.format(n="low")}))""")(
     lambda v: variants.lost_alt(v.where("side = 'q'").select("chrom", "pos", "ref", "alt", F.col("ad_alt").alias("re_alt"), (F.col("ad_alt") + F.col("ad_ref")).alias("re_dp"), F.col("gq").alias("high_alt"), F.col("an").alias("high_dp"), F.col("hp").alias("low_alt"), F.col("ac").alias("low_dp"))))
-query("isec_private", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt)")(
+query("isec_private", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q ANTI JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
     lambda v: v.where("side = 'q'").join(v.where("side = 'r'"), variants.KEY, "left_anti"))
 query("soft_filter", f"{VK} filter:s", "variants", "SELECT chrom, pos, ref, alt, CASE WHEN gq > 5 THEN CASE WHEN ac >= 20 THEN 'LOW;AF' ELSE 'LOW' END WHEN ac >= 20 THEN 'AF' ELSE '' END AS filter FROM variants WHERE side = 'q'")(
     lambda v: variants.soft_filter(_side(v, "q"), F.col("ac") >= 20, "AF").withColumn("filter", F.array_join("filter", ";")))
@@ -351,14 +342,14 @@ SELECT count(t) AS truth, count(c) AS called, count(CASE WHEN t IS NOT NULL AND
 query("hp_support", f"{VK} hpsup:s", "variants reads", """WITH b AS (SELECT DISTINCT chrom, CAST(start // 7 AS INT) AS pos, substr('ACGT', CAST(pk % 4 AS INT) + 1, 1) AS base, ln % 4 AS hp FROM reads WHERE mapq >= 10 AND ln * 6 >= 15)
 SELECT v.chrom, v.pos, v.ref, v.alt, coalesce(string_agg(DISTINCT CAST(b.hp AS VARCHAR), ';' ORDER BY CAST(b.hp AS VARCHAR)), '.') AS hpsup FROM variants v LEFT JOIN b ON b.chrom = v.chrom AND b.pos = v.pos AND b.base = v.alt WHERE v.side = 'q' GROUP BY v.chrom, v.pos, v.ref, v.alt""")(
     lambda v, r: variants.haplotype_support(r.select("chrom", F.floor(F.col("start") / 7).cast("int").alias("pos"), F.expr("substr('ACGT', cast(pk % 4 as int) + 1, 1)").alias("base"), (F.col("ln") % 4).alias("hp"), "mapq", (F.col("ln") * 6).alias("bq")), v.where("side = 'q'")))
-query("upsert", "chrom:s pos:i ref:s alt:s ac:i", "variants", f"WITH {SIDES} SELECT chrom, pos, ref, alt, ac FROM r UNION ALL SELECT q.chrom, q.pos, q.ref, q.alt, q.ac FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt)")(
+query("upsert", "chrom:s pos:i ref:s alt:s ac:i", "variants", f"WITH {SIDES} SELECT chrom, pos, ref, alt, ac FROM r UNION ALL SELECT q.chrom, q.pos, q.ref, q.alt, q.ac FROM q ANTI JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
     lambda v: variants.upsert(v.where("side = 'q'"), v.where("side = 'r'"), variants.KEY))
 
 # --- lookups between variant sets ------------------------------------------------------------------
 query("vcf_annotate", f"{VK} ac_r:s an_r:s", "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt, r.ac AS ac_r, r.an AS an_r FROM q LEFT JOIN r ON q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt")(
     lambda v: variants.annotate(v.where("side = 'q'"), v.where("side = 'r'").select(*variants.KEY, F.col("ac").alias("ac_r"), F.col("an").alias("an_r")), ["ac_r", "an_r"]))
 for _mode, _on in (("site", "q.chrom = r.chrom AND q.pos = r.pos"), ("exact", f"q.chrom = r.chrom AND q.pos = r.pos AND q.ref = r.ref AND q.alt = r.alt AND {GT.format(s='q')} = {GT.format(s='r')}")):
-    query(f"vcf_members_{_mode}", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q WHERE EXISTS (SELECT 1 FROM r WHERE {_on})")(lambda v, m=_mode: variants.members(_side(v, "q"), _side(v, "r"), m))
+    query(f"vcf_members_{_mode}", VK, "variants", f"WITH {SIDES} SELECT q.chrom, q.pos, q.ref, q.alt FROM q SEMI JOIN r ON {_on}")(lambda v, m=_mode: variants.members(_side(v, "q"), _side(v, "r"), m))
 query("depth_lookup", f"{VK} deep_dp:i deep_alt:i", "variants reads", f"""WITH {SIDES}, t AS (SELECT chrom, CAST(start // 7 AS INT) AS pos, substr('ACGT', CAST(pk % 4 AS INT) + 1, 1) AS base FROM reads WHERE mapq >= 10)
 SELECT q.chrom, q.pos, q.ref, q.alt, (SELECT nullif(count(*), 0) FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos) AS deep_dp,
  CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos) THEN (SELECT count(*) FROM t WHERE t.chrom = q.chrom AND t.pos = q.pos AND t.base = q.alt) END AS deep_alt FROM q""")(

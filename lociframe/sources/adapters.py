@@ -86,4 +86,4 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 def ctes(*names: str) -> str:
     """A WITH list of the adapted tables (and those they need) in DuckDB SQL."""
     order = [n for n in TABLES if n in names or (n == "reads" and {"sd_pairs", "variants", "cigars"} & set(names))]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_render(TABLES[n], False)})" for n in order)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n != 'genome' else ''}({_render(TABLES[n], False)})" for n in order)

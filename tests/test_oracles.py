@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lociframe.plans import queries
+from lociframe.plans import catalogue as queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
