@@ -24,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_names, cut
+from .common import clear_names, cut, fresh
 from .url_filter import split_url
 
 #: Words of a text piece that is its own token; a longer one's is its hash.
 TOKEN_WORDS = 8
+#: Open elements whose path grows; deeper ones stand at that depth, as browsers
+#: have it, so that paths stay short.
+MAX_DEPTH = 256
 #: Share of a group's pages that a class is on at least, and pages of a host
 #: below which the pages of all such hosts are one group.
 SUPPORT, LEAST_PAGES = 0.5, 3
@@ -43,7 +46,8 @@ MAX_BROADCAST = 48_000_000
 #: Hosts of few pages that are broadcast; else they are joined.
 MAX_HOSTS = 300_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+#: A tag has no "<" but in quotes, so that no piece is scanned again and again.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^<>]*>|<\?[^<>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong strike sub sup time tt u var ins del big".split())
@@ -78,6 +82,8 @@ class Page:
         self.tokens: list[str] = []
         self.texts: list[tuple[int, str, int, bool, bool, str]] = []
         stack: list[tuple[str, str, bool]] = []  # tag, path, aside
+        opened: Counter = Counter()  # tags on the stack
+        ends: dict[str, str] = {}  # closing tokens, once each
         links, block = 0, 0
         for m in TOKEN.finditer(html or ""):
             piece = m[0]
@@ -104,26 +110,33 @@ class Page:
                 continue
             block += 1
             if m[2]:
-                if any(t == tag for t, _, _ in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    self.tokens.append(f"{stack.pop()[1]}>")
+                if opened[tag]:
+                    while True:
+                        shut_tag, path, _ = stack.pop()
+                        opened[shut_tag] -= 1
+                        if shut_tag == tag:
+                            break
+                    self.tokens.append(ends.setdefault(path, f"{path}>"))
                     links = 0
                 continue
             shut = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in SCOPE | {tag} - shut:
-                if stack[k][0] in shut:
-                    del stack[k:]
-                k -= 1
+            if any(opened[t] for t in shut):
+                k, stop = len(stack) - 1, SCOPE | {tag} - shut
+                while k >= 0 and stack[k][0] not in stop:
+                    if stack[k][0] in shut:
+                        opened.subtract(t for t, _, _ in stack[k:])
+                        del stack[k:]
+                    k -= 1
             names, role = _names(m[4] or "")
             path, aside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
             first = re.sub(r"[/#>]", "_", names.split()[0]) if names else ""  # these part a token
-            path = f"{path}/{tag}{'.' + first if first else ''}"
+            if len(stack) < MAX_DEPTH:
+                path = f"{path}/{tag}{'.' + first if first else ''}"
             aside = aside or tag in ASIDE_TAGS or role in ASIDE_ROLES or bool(names and ASIDE_NAMES.search(names))
             self.tokens.append(path)
             if tag not in VOID:
                 stack.append((tag, path, aside))
+                opened[tag] += 1
                 links = 0
 
     def token(self, place: int, piece: str) -> str | None:
@@ -355,16 +368,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     an empty table gives no rows; input columns of these names are replaced.
     """
     names = [c for c in ("host", "key", "html", "container", "text", "n_chars", "tokens", "classes") if c not in (id_col, url_col, html_col)]
+    own_host, own_html, group, said = (fresh(pages, c) for c in ("host", "html", "group", "fixed"))
     clean = clear_names(pages, *names)
-    base = clean.withColumns({"__host": split_url(F.col(url_col))[0], "__html": F.col(html_col).cast("string")})
-    sizes = base.groupBy("__host").agg(F.count("*").alias("n"))
-    few = cut(sizes.where(F.col("n") < LEAST_PAGES).select("__host", F.lit("").alias("__group")))
-    keyed = base.join(F.broadcast(few) if few.count() <= MAX_HOSTS else few, "__host", "left").withColumn("__group", F.coalesce("__group", "__host"))
-    narrow = keyed.select(F.col("__group").alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.col("__html").alias("html"), F.xxhash64("__html").alias("print"))
+    base = clean.withColumns({own_host: split_url(F.col(url_col))[0], own_html: F.col(html_col).cast("string")})
+    sizes = base.groupBy(own_host).agg(F.count("*").alias("n"))
+    few = cut(sizes.where(F.col("n") < LEAST_PAGES).select(own_host, F.lit("").alias(group)))
+    keyed = base.join(F.broadcast(few) if few.count() <= MAX_HOSTS else few, own_host, "left").withColumn(group, F.coalesce(group, own_host))
+    narrow = keyed.select(F.col(group).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("key"), F.col(own_html).alias("html"), F.xxhash64(own_html).alias("print"))
     copied = cut(narrow.groupBy("host", "print").agg(F.count("*").alias("copies")).where(F.col("copies") > 1))
     narrow = narrow.join(F.broadcast(copied) if copied.count() <= MAX_HOSTS else copied, ["host", "print"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     found = cut(templates(narrow.select("host", "key", "html", "copies")))
-    where = cut(containers(narrow.select("host", "html", "copies"), found).withColumnRenamed("fixed", "__fixed"))
+    where = cut(containers(narrow.select("host", "html", "copies"), found).withColumnRenamed("fixed", said))
 
     @F.pandas_udf("string")
     def main_text(htmls: pd.Series, elements: pd.Series, texts: pd.Series) -> pd.Series:
@@ -374,6 +388,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out.append(page.text(element, fixed) or page.plain(fixed))
         return pd.Series(out, dtype=object)
 
-    out = _with_templates(keyed.withColumnRenamed("__group", "host"), where)
-    out = out.withColumn("text", main_text("__html", "container", "__fixed")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.drop("__host", "__html", "__fixed")
+    out = _with_templates(keyed.withColumnRenamed(group, "host"), where)
+    out = out.withColumn("text", main_text(own_html, "container", said)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.drop(own_host, own_html, said)

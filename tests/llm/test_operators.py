@@ -607,6 +607,25 @@ def test_html_leaves_out_the_text_of_the_template(spark):
     assert all(f"Head 1\n\n{prose(30, 1)}" in got[100 + k] for k in range(30))
 
 
+def test_html_in_linear_time():
+    """Unclosed tags, deep nesting, stray closing tags, open quotes."""
+    import time
+
+    n = 100_000
+    for html in ("<a " * n, "<div>" * n + "deep" + "</div>" * n, "<x>" * n + "</y>" * n, "<p>" * n + "end", "<!x" * n, "<script " * n, "<a '" * n, "<li><p>" * n, "<b" * n + ">"):
+        began = time.process_time()
+        page = html_extract.Page(html)
+        assert time.process_time() - began < 12 and sum(map(len, set(page.tokens))) < 30_000_000
+    deep = html_extract.Page("<main>" + "<div>" * 5000 + "words here" + "</div>" * 5000 + "</main>")
+    assert deep.text("/main") == "words here" and deep.plain() == "words here"
+
+
+def test_html_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://h.org/", "<article>Text</article>", "a", "b", "c")], "page_id long, url string, html string, __host string, __html string, __group string")
+    got = html_extract.extract(df).first()
+    assert (got.text, got["__host"], got["__html"], got["__group"]) == ("Text", "a", "b", "c")
+
+
 def test_fixity(spark):
     rows = [(k, f"u{k}", "p" * (k % 50) + str(k), "clash") for k in range(1100)] + [(None, None, None, "x"), (5, "u5", "again", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
