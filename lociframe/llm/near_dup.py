@@ -235,9 +235,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE
 
 def _classes(rows: DataFrame) -> DataFrame:
     """key, n, set1, set2, codes, rep and print (the first row) of each distinct
-    set that isn't empty. Keys are dense numbers: ids may be shared."""
+    set that isn't empty. Keys are numbers, since ids may be shared, in the
+    order of the first rows: a bucket's least key is then the earliest text,
+    which the others are copies of more often than of one another."""
     found = rows.where("n > 0").groupBy("n", "set1", "set2").agg(F.min(F.struct("id", "print")).alias("r"), F.first("codes").alias("codes"))
-    return cut(found.select(F.monotonically_increasing_id().alias("key"), "n", "set1", "set2", "codes", F.col("r.id").alias("rep"), F.col("r.print").alias("print")))
+    flat = found.select("n", "set1", "set2", "codes", F.col("r.id").alias("rep"), F.col("r.print").alias("print"))
+    ordered = flat.repartitionByRange("rep", "print", "set1", "set2").sortWithinPartitions("rep", "print", "set1", "set2")
+    return cut(ordered.withColumn("key", F.monotonically_increasing_id()))
 
 
 def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
