@@ -28,6 +28,10 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 #: Members of a bucket whose pairs are all tried in one round.
 WHOLE = 4096
+#: Members of a part of such a bucket; a task of its own takes each pair of parts.
+PART = 512
+#: Pairs of members that a task should try.
+TASK_PAIRS = 1 << 20
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 4.5
 
@@ -185,21 +189,33 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def _within(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id_a, id_b) of members of a bucket (of at most WHOLE) in different
+def _within(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id_a, id_b) of members of a bucket (of k, at most WHOLE) in different
     components whose sizes and estimate allow a link; a pair that shares several
-    buckets is given in the first of its bands only."""
+    buckets is given in the first of its bands only.
+
+    A bucket is split into parts by a hash of its members, and each pair of
+    parts is a group; so neither a large bucket nor few partitions make a task
+    long. The number of tasks grows with the pairs to try.
+    """
     goal = percent / 100
+    of = F.ceil(F.col("k") / PART)
+    work = members.groupBy("key").agg(F.first("k").alias("k")).agg(F.sum(F.col("k") * F.col("k") / 2)).first()[0] or 0
+    split = members.join(reps.select("id", "codes"), "id").withColumn("part", F.pmod(F.xxhash64("id"), of)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), of - 1)))
+    split = split.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).select("key", "low", "high", "part", "id", "n", "c", "codes")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        # the rows of the first part come first; each meets those after it, or those of the other part
+        pdf = pdf.sort_values(["part", "id"], kind="stable")
         ids, n, c = (pdf[x].to_numpy() for x in ("id", "n", "c"))
         codes = np.frombuffer(b"".join(pdf["codes"]), dtype="<u2").reshape(len(pdf), REGISTERS)
         keys = np.stack([band_keys(x) for x in codes])
         band = int(np.argmax(keys[0] == pdf["key"].iloc[0]))
+        first = int((pdf["part"] == low).sum())
         out = []
-        for i in range(len(pdf) - 1):
-            j = np.arange(i + 1, len(pdf))
+        for i in range(first):
+            j = np.arange(i + 1 if low == high else first, len(pdf))
             j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
             if len(j):
@@ -209,7 +225,9 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
                 out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["id_a", "id_b"])
 
-    return members.select("key", "id", "n", "c", "codes").groupBy("key").applyInPandas(run, "id_a long, id_b long")
+    tasks = int(work // TASK_PAIRS) + 1
+    dealt = split.repartition(max(tasks, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "low", "high")
+    return dealt.groupBy("key", "low", "high").applyInPandas(run, "id_a long, id_b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
@@ -292,7 +310,7 @@ def _linked(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int,
         rest = cut(known.join(open_.select("key", "k"), "key"))
         if rest.isEmpty():
             break
-        small = _within(rest.where(F.col("k") <= WHOLE).join(reps.select("id", "codes"), "id"), percent)
+        small = _within(rest.where(F.col("k") <= WHOLE), reps, percent)
         # of larger buckets a few members, chosen by hash, meet all the others
         x, y = (rest.where(F.col("k") > WHOLE).select("key", "k", *[F.col(c).alias(f"{c}_{z}") for c in ("id", "n", "c")]) for z in "ab")
         large = x.where(F.pmod(F.xxhash64("id_a", F.lit(turn)), "k") < F.ceil(2 * F.sqrt("k"))).join(y.drop("k"), "key").where("c_a <> c_b").where(alike)

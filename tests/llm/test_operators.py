@@ -98,8 +98,11 @@ def test_rows_of_one_id_keep_their_links(spark):
     assert near_dup.one_of_each(df.limit(0)).count() == 0
 
 
-def test_large_buckets_go_on_by_leaders(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "WHOLE", 2)
+@pytest.mark.parametrize("whole, part", [(2, 512), (4096, 3), (4096, 1)])
+def test_large_buckets_go_on_by_leaders_and_parts(spark, monkeypatch, whole, part):
+    monkeypatch.setattr(near_dup, "WHOLE", whole)
+    monkeypatch.setattr(near_dup, "PART", part)
+    monkeypatch.setattr(near_dup, "TASK_PAIRS", 10)
     rows = [(k, edited(BASE, k % 9, k)) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 85).collect()} == brute_groups(rows, 85)
