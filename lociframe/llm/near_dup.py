@@ -32,6 +32,8 @@ WHOLE = 4096
 PART = 512
 #: Pairs of members that a task should try.
 TASK_PAIRS = 1 << 20
+#: Candidates that a task should confirm on full sets.
+TASK_SETS = 4096
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 4.5
 
@@ -231,10 +233,18 @@ def _within(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
-    """The pairs that full sets confirm: 100 intersection >= percent union."""
+    """The pairs that full sets confirm: 100 intersection >= percent union.
+
+    A row a with very many pairs stands once for every TASK_SETS of them, and the
+    number of tasks grows with the pairs: few bytes can be much work here.
+    """
+    share = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK_SETS).alias("of"))
+    dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), "of").alias("part"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(share, "a")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).drop("of")
+    tasks = max(pairs.count() // TASK_SETS + 1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = dealt.join(right, "b").repartition(tasks, "a", "part").join(left, ["a", "part"]).sortWithinPartitions("a", "part")
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None
