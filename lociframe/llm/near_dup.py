@@ -31,9 +31,9 @@ WHOLE = 4096
 #: Members of a part of such a bucket; a task of its own takes each pair of parts.
 PART = 512
 #: Pairs of members that a task should try.
-TASK_PAIRS = 1 << 20
+TASK_PAIRS = 1 << 18
 #: Candidates that a task should confirm on full sets.
-TASK_SETS = 4096
+TASK_SETS = 512
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 4.5
 
@@ -227,8 +227,7 @@ def _within(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 out.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["id_a", "id_b"])
 
-    tasks = int(work // TASK_PAIRS) + 1
-    dealt = split.repartition(max(tasks, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "low", "high")
+    dealt = split.repartition(int(work // TASK_PAIRS) + 1, "key", "low", "high")
     return dealt.groupBy("key", "low", "high").applyInPandas(run, "id_a long, id_b long")
 
 
@@ -243,8 +242,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = SHINGLE
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(share, "a")
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).drop("of")
-    tasks = max(pairs.count() // TASK_SETS + 1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = dealt.join(right, "b").repartition(tasks, "a", "part").join(left, ["a", "part"]).sortWithinPartitions("a", "part")
+    both = dealt.join(right, "b").repartition(pairs.count() // TASK_SETS + 1, "a", "part").join(left, ["a", "part"]).sortWithinPartitions("a", "part")
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None

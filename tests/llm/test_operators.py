@@ -102,7 +102,8 @@ def test_rows_of_one_id_keep_their_links(spark):
 def test_large_buckets_go_on_by_leaders_and_parts(spark, monkeypatch, whole, part):
     monkeypatch.setattr(near_dup, "WHOLE", whole)
     monkeypatch.setattr(near_dup, "PART", part)
-    monkeypatch.setattr(near_dup, "TASK_PAIRS", 10)
+    monkeypatch.setattr(near_dup, "TASK_PAIRS", 4000)
+    monkeypatch.setattr(near_dup, "TASK_SETS", 8)
     rows = [(k, edited(BASE, k % 9, k)) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 85).collect()} == brute_groups(rows, 85)
