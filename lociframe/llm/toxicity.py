@@ -42,8 +42,9 @@ GRAM_SCALE, DROP_WORDS, DROP_GRAMS, DECAY = 0.1, 0.5, 0.2, 1e-3
 BREAKS = re.compile(b"[" + re.escape(PUNCTUATION) + b"]+")
 #: Rows of a worker's table of word inputs.
 CACHE = 250_000
-#: Windows that are read at once.
-AT_ONCE = 4096
+#: Windows that are read at once, in training (by the driver) and in scoring,
+#: and words whose inputs are worked out at once.
+RANKED_AT_ONCE, AT_ONCE, WORDS_AT_ONCE = 512, 4096, 8192
 
 
 def pieces(word: bytes) -> list[bytes]:
@@ -119,6 +120,15 @@ class Network:
         x = self.p["word"][rows] * own + (self.p["gram"][grams] * there[:, :, None]).sum(axis=1) / k
         return x @ self.p["in"] + self.p["bias"], (rows, grams, there, k, x, own)
 
+    def gates(self, words: list[bytes]) -> np.ndarray:
+        """inputs() of many words, some at a time: the four-grams of a word take
+        many times the room of its gates."""
+        out = np.empty((len(words), 6 * HIDDEN), dtype=np.float32)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            out[at : at + len(some)] = self.inputs(some)[0]
+        return out
+
     def forward(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows. gates: (time, windows, 6 * HIDDEN); mask: (time,
         windows), None if all words exist."""
@@ -210,7 +220,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
     """
     net, rng = Network(seed), np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(normal, inputs_of(t))], dtype=np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(normal, inputs_of(t))], dtype=np.int32) for t in texts]
     kept = [(d, float(y)) for d, y in zip(docs, labels, strict=True) if len(d)]
     if not kept or len({y for _, y in kept}) < 2:
         share = np.clip(np.mean(labels) if labels else 0.5, 0.01, 0.99)
@@ -224,19 +234,21 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
     every = np.concatenate(bags)
     first = np.searchsorted(owner, np.arange(len(bags)))
     count = np.bincount(owner)
+    n = len(bags)
+    del docs, kept, bags, vocabulary
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, weight = 0, np.where(y > 0, min(POSITIVE_WEIGHT, 0.3 / max(y.mean(), 0.02)), 1.0).astype(np.float32)
     # few texts are gone through more often
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // n))
     mean, seen = {k: v.copy() for k, v in net.p.items()}, 0
     for epoch in range(epochs):
-        random = first + (rng.random(len(bags)) * count).astype(np.int64)
-        chosen, who = [random], [np.arange(len(bags))]
+        random = first + (rng.random(n) * count).astype(np.int64)
+        chosen, who = [random], [np.arange(n)]
         if epoch >= epochs * RANDOM_EPOCHS // EPOCHS:
             logits = _all_logits(net, words, every, pad)
             order = np.lexsort((-logits, owner))
-            best = order[np.searchsorted(owner[order], np.arange(len(bags)))]
-            chosen, who = [best, random[y == 0]], [np.arange(len(bags)), np.flatnonzero(y == 0)]
+            best = order[np.searchsorted(owner[order], np.arange(n))]
+            chosen, who = [best, random[y == 0]], [np.arange(n), np.flatnonzero(y == 0)]
         chosen, who = np.concatenate(chosen), np.concatenate(who)
         shuffled = rng.permutation(len(chosen))
         rate = RATE * (0.3 if epoch >= epochs - 3 else 1.0)
@@ -262,10 +274,10 @@ def _lookup(net: Network, words: list[bytes], ids: np.ndarray, pad: int, rng: np
 
 
 def _all_logits(net: Network, words: list[bytes], every: np.ndarray, pad: int) -> np.ndarray:
-    gates, _ = net.inputs([*words, b""])
+    gates = net.gates([*words, b""])
     out = []
-    for at in range(0, len(every), AT_ONCE):
-        ids = every[at : at + AT_ONCE].T
+    for at in range(0, len(every), RANKED_AT_ONCE):
+        ids = every[at : at + RANKED_AT_ONCE].T
         mask = ids != pad
         out.append(net.forward(gates[ids], None if mask.all() else mask))
     return np.concatenate(out)

@@ -681,3 +681,18 @@ def test_genetic_packing_beats_best_fit():
         assert len(best) <= len(first)
         fewer += len(best) < len(first)
     assert fewer >= 3
+
+
+def test_training_holds_few_word_inputs_at_once():
+    import tracemalloc
+
+    net, words = toxicity.Network(), [b"word%d" % k for k in range(40_000)]
+    every = toxicity.windows_of(np.arange(len(words)), len(words))
+    tracemalloc.start()
+    got = toxicity._all_logits(net, words, every, len(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all four-grams at once took over 80 MB, the windows at once as much again
+    assert peak < 50e6
+    gates = net.inputs([*words, b""])[0]
+    assert np.allclose(net.gates([*words, b""]), gates, atol=1e-5) and np.allclose(got, net.forward(gates[every.T], None), atol=1e-5)
