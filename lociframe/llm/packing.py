@@ -25,8 +25,9 @@ SEQUENCE = 4096
 BLOCK = 3000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-OFFSPRING = 6
+POPULATION = 12
+#: Children in a row that are no better than the best before an island stops.
+OFFSPRING = 60
 #: Bins filled less than this share are packed again in the next level.
 WELL_FILLED = 0.995
 LEVELS = 3
@@ -126,7 +127,9 @@ def as_bins(labels) -> list[list[int]]:
 
 
 def evolve(lengths: np.ndarray, seeds: list, size: int, seed: int, population: int = POPULATION, offspring: int = OFFSPRING) -> list[list[int]]:
-    """The best solution after one epoch on an island; seeds: labels to start from."""
+    """The best solution after one epoch on an island; seeds: labels to start
+    from. An epoch ends at the lower bound, or when `offspring` children in a
+    row were no better than the best."""
     rng, n = np.random.default_rng(seed), len(lengths)
     least = -(-int(lengths.sum()) // size)
     people = [as_bins(s) for s in seeds] or [pack(lengths, np.arange(n), size)]
@@ -134,12 +137,13 @@ def evolve(lengths: np.ndarray, seeds: list, size: int, seed: int, population: i
         # nearly descending orders: lengths blurred by some noise
         people.append(pack(lengths, np.argsort(-lengths * (1 + 0.2 * rng.random(n)), kind="stable"), size))
     rated = sorted(((fitness(lengths, p, size), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
-    for k in range(offspring):
-        if len(rated[0][2]) <= least or len(rated) < 2:
-            break
+    k = idle = 0
+    while idle < offspring and len(rated[0][2]) > least and len(rated) > 1:
         a, b = rng.choice(len(rated), 2, replace=False)
         child = crossover(lengths, rated[a][2], rated[b][2], size, rng)
-        rated.append((fitness(lengths, child, size), population + k, child))
+        fit = fitness(lengths, child, size)
+        k, idle = k + 1, 0 if fit > rated[0][0] else idle + 1
+        rated.append((fit, population + k, child))
         rated = sorted(rated, key=lambda x: (x[0], -x[1]), reverse=True)[:population]
     return rated[0][2]
 
