@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 END_ID = 1
 #: Entries a worker's word memo keeps at most, in two generations.
 MEMO_WORDS = 600_000
+#: Seconds from one garbage collection of tidy() to the next, and when the last was.
+TIDY_S = 10.0
+_TIDIED = [float("-inf")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, every TIDY_S seconds at most.
+
+    What a driver needs of an iteration is small, but the plans, results and
+    task reports of finished steps fill its heap up to the limit before it
+    collects them, and shuffle files and checkpoints that no step needs any
+    more stay as long. A whole collection also gives heap back.
+    """
+    if time.monotonic() - _TIDIED[0] >= TIDY_S:
+        spark.sparkContext._jvm.System.gc()
+        _TIDIED[0] = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:

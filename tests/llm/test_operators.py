@@ -707,3 +707,16 @@ def test_evolution_as_shipped_goes_on_while_it_gains():
         assert sorted(itertools.chain(*best)) == list(range(300)) and max(lengths[b].sum() for b in best) <= 4096
         total += len(best)
     assert total <= 434
+
+
+def test_checkpoints_leave_no_garbage(spark, monkeypatch):
+    from lociframe.llm import common
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "_TIDIED", [float("-inf")], raising=False)
+    before = whole()
+    common.cut(spark.range(3))
+    first = whole()
+    common.cut(spark.range(3))
+    assert first > before and whole() == first  # not for every checkpoint
