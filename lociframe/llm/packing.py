@@ -178,7 +178,7 @@ def _solve(dealt: DataFrame, blocks: int, size: int) -> DataFrame:
         if epoch < EPOCHS - 1:
             # the elite stays, and a copy of it goes to the next island
             moved = best.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
-            state = best.unionByName(moved).groupBy("block", "island").agg(F.first("lengths").alias("lengths"), F.collect_list("best").alias("seeds"))
+            state = best.unionByName(moved).repartition(tasks, "block", "island").groupBy("block", "island").agg(F.first("lengths").alias("lengths"), F.collect_list("best").alias("seeds"))
     won = best.groupBy("block").agg(F.max_by("best", F.struct(-F.col("n_bins"), "fit", -F.col("island"))).alias("best"))
 
     def place(key, mine: pd.DataFrame, solution: pd.DataFrame) -> pd.DataFrame:
