@@ -6,6 +6,7 @@ import re
 import tempfile
 import time
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 END_ID = 1
 #: Entries a worker's word memo keeps at most, in two generations.
 MEMO_WORDS = 600_000
+#: Entries an encoder's memo of chunks keeps at most, likewise.
+MEMO_CHUNKS = 1_200_000
 #: Seconds from one garbage collection of tidy() to the next, and when the last was.
 TIDY_S = 10.0
 _TIDIED = [float("-inf")]
@@ -167,6 +170,8 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
 
 #: Chunks of these alone lower-case and normalise letter by letter.
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+#: The same of chunks with a space between them.
+PLAIN_CHUNKS = re.compile(r"[\x20-\x7e\xc0-\xff]+")
 #: The tokenizer file's pre-tokenizer, over lower-cased PLAIN text.
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
@@ -178,7 +183,8 @@ class ChunkEncoder:
     the ids of a text are the ids of its white-space separated chunks in order.
     The library encodes each distinct chunk once while it is remembered. A
     PLAIN chunk is first cut into its pre-tokens, which are shared by more
-    chunks; the library encodes those with the same model and byte table.
+    chunks; the library encodes those with the same model and byte table. A
+    pre-token is a chunk itself, so one memo holds both.
     ids() returns little-endian unsigned 32-bit bytes.
     """
 
@@ -195,39 +201,49 @@ class ChunkEncoder:
         self._known = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self._tokenizer.to_str()
         #: Bytes that hold any id.
         self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self._chunks, self._parts = Memo(MEMO_WORDS), Memo(MEMO_WORDS)
+        self._memo = Memo(MEMO_CHUNKS)
 
     def ids(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "replace").split()
-        self._chunks.room()
-        memo = self._chunks.young
+        self._memo.room()
+        memo = self._memo.young
+        found = list(map(memo.get, words))
         try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            self._learn(self._chunks.missing(words))
-            return b"".join([memo[w] for w in words])
+            return b"".join(found)
+        except TypeError:
+            # only what the young generation lacks is looked at again
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            self._learn(self._memo.missing([words[k] for k in gaps]))
+            for k in gaps:
+                found[k] = memo[words[k]]
+            return b"".join(found)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        memo, cut_up, odd = self._chunks.young, {}, []
-        for w in chunks:
-            word = w.decode("utf-8")
-            if self._known and PLAIN.fullmatch(word) and "<|" not in word:
-                cut_up[w] = PRETOKENS.findall(word.lower())
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self._tokenizer.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        self._parts.room()
-        parts = self._parts.young
-        new = self._parts.missing(p for ps in cut_up.values() for p in ps)
+        if not chunks:
+            return
+        memo, plain, odd = self._memo.young, chunks, []
+        text = b" ".join(chunks).decode("utf-8")
+        if not (self._known and PLAIN_CHUNKS.fullmatch(text) and "<|" not in text):
+            plain = []
+            for w, word in zip(chunks, text.split(" "), strict=True):
+                (plain if self._known and PLAIN.fullmatch(word) and "<|" not in word else odd).append(w)
+            text = b" ".join(plain).decode("utf-8")
+            for w, e in zip(odd, self._tokenizer.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False), strict=True):
+                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if not plain:
+            return
+        # PLAIN text lower-cases letter by letter, so all chunks at once
+        cut_up = [PRETOKENS.findall(word) for word in text.lower().split(" ")]
+        new = self._memo.missing([p.encode("utf-8") for p in set(chain.from_iterable(cut_up))])
         if new:
-            got = self._bare.encode(" ".join(new), add_special_tokens=False)
+            got = self._bare.encode(b" ".join(new).decode("utf-8"), add_special_tokens=False)
             ids, ends = np.array(got.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(np.array(got.word_ids), np.arange(1, len(new) + 1))
             at = 0
             for p, end in zip(new, ends.tolist(), strict=True):
-                parts[p], at = ids[at:end], end
-        for w, ps in cut_up.items():
-            memo[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+                memo[p], at = ids[at:end], end
+        for w, ps in zip(plain, cut_up, strict=True):
+            if w not in memo:
+                memo[w] = b"".join([memo[p.encode("utf-8")] for p in ps])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -63,16 +64,15 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def best_fit(lengths: np.ndarray, items: np.ndarray, bins: list[list[int]], rooms: list[int], size: int) -> None:
     """Adds items (in the given order) each to the fullest bin that has room."""
     free = sorted((r, b) for b, r in enumerate(rooms) if r > 0)
-    for i in items:
-        need = int(lengths[i])
+    for i, need in zip(items.tolist(), lengths[items].tolist(), strict=True):
         at = bisect_left(free, (need, -1))
         if at == len(free):
-            bins.append([int(i)])
+            bins.append([i])
             room, b = size - need, len(bins) - 1
             rooms.append(room)
         else:
             room, b = free.pop(at)
-            bins[b].append(int(i))
+            bins[b].append(i)
             room -= need
             rooms[b] = room
         if room > 0:
@@ -85,31 +85,42 @@ def pack(lengths: np.ndarray, order: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def flat(bins: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All items, bin by bin, and the bin of each."""
+    counts = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
+    return np.fromiter(chain.from_iterable(bins), dtype=np.int64, count=int(counts.sum())), np.repeat(np.arange(len(bins)), counts)
+
+
+def filled(lengths: np.ndarray, bins: list[list[int]]) -> np.ndarray:
+    """The tokens in each bin."""
+    items, owner = flat(bins)
+    # sums below 2^53 are exact as doubles
+    return np.bincount(owner, lengths[items], len(bins)).astype(np.int64)
+
+
 def fitness(lengths: np.ndarray, bins: list[list[int]], size: int) -> tuple[int, float]:
     """Fewer bins first, then bins filled unevenly (some full, some to spare)."""
-    fills = np.array([int(lengths[b].sum()) for b in bins], dtype=np.float64) / size
+    fills = filled(lengths, bins) / size
     return (-len(bins), float((fills**2).sum()))
 
 
 def crossover(lengths: np.ndarray, one: list[list[int]], two: list[list[int]], size: int, rng: np.random.Generator) -> list[list[int]]:
     """Injects whole well-filled bins of `two` into `one`, drops the bins of
     `one` that share an item with them, and best-fits the displaced items."""
-    fills = np.array([int(lengths[b].sum()) for b in two])
-    ranked = np.argsort(-fills, kind="stable")
+    ranked = np.argsort(-filled(lengths, two), kind="stable")
     good = ranked[: max(1, len(two) // 2)]
     injected = [two[k] for k in good[rng.random(len(good)) < 0.5]]
     inside = np.zeros(len(lengths), dtype=bool)
-    for b in injected:
-        inside[b] = True
-    child, displaced = [list(b) for b in injected], []
+    inside[flat(injected)[0]] = True
+    items, owner = flat(one)
+    shared = np.bincount(owner, inside[items], len(one)) > 0
+    child = [list(b) for b in injected]
     fresh = rng.random(len(one)) < 0.05  # mutation: a few bins are emptied
-    for b, gone in zip(one, fresh, strict=True):
-        if gone or inside[b].any():
-            displaced += [i for i in b if not inside[i]]
-        else:
-            child.append(list(b))
-    rooms = [size - int(lengths[b].sum()) for b in child]
-    best_fit(lengths, np.sort(np.array(displaced, dtype=np.int64)), child, rooms, size)
+    broken = fresh | shared
+    displaced = items[broken[owner] & ~inside[items]]
+    child += [list(b) for b, gone in zip(one, broken.tolist(), strict=True) if not gone]
+    rooms = (size - filled(lengths, child)).tolist()
+    best_fit(lengths, np.sort(displaced), child, rooms, size)
     return child
 
 

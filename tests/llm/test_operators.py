@@ -720,3 +720,67 @@ def test_checkpoints_leave_no_garbage(spark, monkeypatch):
     first = whole()
     common.cut(spark.range(3))
     assert first > before and whole() == first  # not for every checkpoint
+
+
+def test_packing_rates_a_child_without_a_call_for_each_bin():
+    """A sum for each bin once took most of a child's time."""
+    import sys
+
+    lengths = np.sort(np.random.default_rng(4).integers(1, 4097, 3000))[::-1].astype(np.int64)
+    one, two = (packing.pack(lengths, np.argsort(-lengths * noise, kind="stable"), 4096) for noise in np.random.default_rng(5).uniform(0.8, 1, (2, 3000)))
+    sums = []
+
+    def count(frame, event, arg):
+        if event == "c_call" and getattr(arg, "__name__", "") in ("reduce", "sum", "any"):
+            sums.append(arg)
+
+    sys.setprofile(count)
+    try:
+        child = packing.crossover(lengths, one, two, 4096, np.random.default_rng(6))
+        fit = packing.fitness(lengths, child, 4096)
+    finally:
+        sys.setprofile(None)
+    assert len(sums) < 20 < len(child)
+    fills = np.array([lengths[b].sum() for b in child], dtype=np.float64)
+    assert sorted(itertools.chain(*child)) == list(range(3000)) and fills.max() <= 4096
+    assert fit == (-len(child), float(((fills / 4096) ** 2).sum()))
+
+
+def test_encoder_remembers_chunks_and_pretokens_in_one_memo(monkeypatch):
+    """Two memos of half the room each encoded these words in every round."""
+    from lociframe.llm import common
+
+    monkeypatch.setattr(common, "MEMO_WORDS", 100)
+    monkeypatch.setattr(common, "MEMO_CHUNKS", 200, raising=False)
+    encode, asked, first = common.ChunkEncoder(vocabulary()), [], {}
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, text, **more):
+            asked.extend(text.split())
+            return self.library.encode(text, **more)
+
+    encode._bare = Counted(encode._bare)
+    words = ["".join(p) for p in itertools.product("bcdfg", "aeiou", "lmn")]
+    words += [f"x{w}" for w in words[:15]]
+    for _ in range(4):
+        for word in words:
+            ids = encode.ids(word)
+            assert ids and ids == first.setdefault(word, ids)
+    assert sorted(asked) == sorted(words)
+
+
+def test_encoder_with_little_room_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from lociframe.llm import common
+
+    monkeypatch.setattr(common, "MEMO_WORDS", 20)
+    monkeypatch.setattr(common, "MEMO_CHUNKS", 20, raising=False)
+    encode, whole, rng = common.ChunkEncoder(vocabulary()), Tokenizer.from_file(vocabulary()), random.Random(8)
+    bits = ["don't", "DON'T'S", "'s", "!'s", "'", "',", "A1b2", "2024", "Ärger", "straße", "×÷", "ªµ", "naıve", "İx", "中文", "á", "x y", "\x85", "a\x1cb", "<|endoftext|>", "<", "|", "e-mail@x.org", "\U0001f600ok", "The", "the", "THE"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) + rng.choice([" ", "\n", "\t ", "", "\x0b"]) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(encode.ids(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
