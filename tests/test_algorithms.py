@@ -75,6 +75,13 @@ def test_umbrella(spark):
     assert {(r.start_1, r.chr_2) for r in graphs.drop_umbrellas(df, "g").collect()} == {(10, "d"), (10, "e")}
 
 
+def test_umbrella_with_columns_of_any_name(spark):
+    rows = [(1, "c", 0, 100, "d", 0, 100, "+", "+", 5, 7, 8), (1, "c", 10, 90, "d", 10, 90, "+", "+", 5, 7, 8), (2, "c", 0, 100, "d", 0, 100, "+", "+", 5, 7, 8)]
+    df = spark.createDataFrame(rows, "r int, chr_1 string, start_1 int, end_1 int, chr_2 string, start_2 int, end_2 int, strand1 string, strand2 string, overlap_len int, g int, outer int")
+    got = graphs.drop_umbrellas(df, "r")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(rows[1:])
+
+
 def test_intervals_brute_force(spark):
     rng = random.Random(3)
     a = [("c", s, s + rng.randint(1, 90)) for s in (rng.randint(0, 400) for _ in range(40))]
